@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch that are held as Python objects at a time.
 SLICE_ROWS = 256
@@ -79,3 +80,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, body)`` of a table; every other column is left behind, so names cannot clash."""
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+
+
+def extended(df: DataFrame, columns: list[str], ddl: str) -> StructType:
+    """Schema of some columns of ``df`` followed by the fields of ``ddl``; any column name is allowed."""
+    return StructType([df.schema[c] for c in columns] + StructType.fromDDL(ddl).fields)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, materialize, sliced
+from .common import ascii_words, extended, materialize, sliced
 
 #: Bytes of benchmark text in one automaton; a larger benchmark is scanned in several passes.
 AUTOMATON_BYTES = 1_000_000
@@ -150,8 +150,7 @@ def _pass(rows: DataFrame, part: tuple[tuple[str, bytes], ...], width: int) -> D
                 [batch.column(0), batch.column(1), *made], names=["doc", "body", "n_words", "n_hit", "items", "hits", "spans"]
             )
 
-    doc = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {doc}, body binary, {OUT}")
+    return rows.mapInArrow(run, extended(rows, ["doc", "body"], OUT))
 
 
 def contaminated(found: DataFrame):

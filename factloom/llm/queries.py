@@ -8,12 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, media, token_counts
+from . import decontamination, language_id, license_scan, media, packing, token_counts
 from .common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.train(language_id.training_rows(docs))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc.doc_id", language_id.held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(documents(spark, sf_dir))
     return found.select(
@@ -25,6 +34,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), TOKENIZER).withColumnRenamed("id", "doc_id")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(documents(spark, sf_dir), TOKENIZER)
+    return packing.pack(pieces).withColumnRenamed("id", "doc_id")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.find_contamination(spark, documents(spark, sf_dir).select("doc_id", "text"), benchmark)
@@ -54,7 +68,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_license_scan, op3_token_counts, op9_benchmark_decontamination, op10_media_columns]
+    named = [
+        op1_language_id,
+        op2_license_scan,
+        op3_token_counts,
+        op6_best_fit_packing,
+        op9_benchmark_decontamination,
+        op10_media_columns,
+    ]
     return {f.__name__: f for f in named}
 
 
