@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, language_id, license_scan, line_dedup, media, packing, token_counts
+from . import decontamination, html_extract, language_id, license_scan, line_dedup, media, near_dedup, packing, token_counts
 from .common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), TOKENIZER).withColumnRenamed("id", "doc_id")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), size=2).withColumnRenamed("id", "doc_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir), TOKENIZER)
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_language_id,
         op2_license_scan,
         op3_token_counts,
+        op4_near_dedup,
         op6_best_fit_packing,
         op7_html_extraction,
         op8_line_dedup,
