@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, language_id, license_scan, line_dedup, media, near_dedup, packing, token_counts
+from . import decontamination, html_extract, language_id, license_scan, line_dedup, media, near_dedup, packing, suffix_dedup, token_counts
 from .common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,17 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), size=2).withColumnRenamed("id", "doc_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_substrings(documents(spark, sf_dir))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(documents(spark, sf_dir), TOKENIZER)
     return packing.pack(pieces).withColumnRenamed("id", "doc_id")
@@ -88,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_license_scan,
         op3_token_counts,
         op4_near_dedup,
+        op5_suffix_dedup,
         op6_best_fit_packing,
         op7_html_extraction,
         op8_line_dedup,
