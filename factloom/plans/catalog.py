@@ -1,13 +1,22 @@
-"""Registry of the engine's queries and their SQL counterparts."""
+"""All queries of the engine and their SQL counterparts."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from factloom.plans import series_queries, table_queries
+from factloom.plans.registry import Query
 
-def queries():
-    return {}
+MODULES = (series_queries, table_queries)
 
 
-def oracle_sql():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series_queries.flagship_growth(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return {name: q for m in MODULES for name, q in m.registry.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.registry.oracles.items()}
