@@ -245,8 +245,12 @@ def multikey_groups(columns: list[np.ndarray]) -> np.ndarray:
     return group
 
 
-def repeated_runs(strings: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, first, end)``: runs of bytes, relative to each row's strings, that an earlier document has too."""
+def repeated_runs(strings: list[bytes], doc: np.ndarray) -> tuple[tuple, tuple]:
+    """Runs of bytes that an earlier document has too, and the heads that may still have an earlier one elsewhere.
+
+    Runs are ``(row, first, end)`` relative to each row's strings.  Heads are ``(row, start)``: the strings of
+    the earliest document among these rows, one a distinct string but for repeats inside that document.
+    """
     number: dict[bytes, int] = {}
     text = np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings))
     distinct = list(number)
@@ -263,17 +267,22 @@ def repeated_runs(strings: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np
     low = np.full(int(group.max()) + 1 if len(group) else 0, LAST, np.int64)
     np.minimum.at(low, group, earliest[owner])
     low = low[group]  # earliest document of every string of every distinct text
-    rows = np.flatnonzero(doc > np.minimum.reduceat(low, base)[text]) if len(base) else np.zeros(0, np.int64)
-    if not len(rows):
-        return rows, rows, rows
-    n = counts[text[rows]]
-    who = np.repeat(np.arange(len(rows)), n)
-    step = np.arange(len(who)) - (np.cumsum(n) - n)[who]
-    hit = np.flatnonzero(low[base[text[rows]][who] + step] < doc[rows][who])
+
+    def spread(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and earliest document of every string of some rows."""
+        n = counts[text[rows]]
+        who = np.repeat(np.arange(len(rows)), n)
+        step = np.arange(len(who)) - (np.cumsum(n) - n)[who]
+        return rows[who], step, low[base[text[rows]][who] + step]
+
+    who, step, first = spread(np.flatnonzero(doc > np.minimum.reduceat(low, base)[text]))
+    hit = first < doc[who]
     who, step = who[hit], step[hit]
-    new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (step[1:] != step[:-1] + 1)])
-    last = np.append(new[1:] - 1, len(who) - 1)
-    return rows[who[new]], step[new], step[last] + LENGTH
+    new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (step[1:] != step[:-1] + 1)]) if len(who) else who
+    last = np.append(new[1:] - 1, len(who) - 1) if len(who) else who
+    head, start, first = spread(np.flatnonzero(doc == earliest[text]))
+    own = first == doc[head]
+    return (who[new], step[new], step[last] + LENGTH), (head[own], start[own])
 
 
 def repeats(found: DataFrame) -> DataFrame:
@@ -288,49 +297,55 @@ def repeats(found: DataFrame) -> DataFrame:
         table = pa.Table.from_batches(parts)
         k1, k2, doc, start = (table[c].to_numpy() for c in ("k1", "k2", "doc", "start"))
         edge = ((k1 == k1[0]) & (k2 == k2[0])) | ((k1 == k1[-1]) & (k2 == k2[-1]))
+        # A slice at a time, cut between groups of equal leading bytes; the end groups make one of their own.
         inner = np.flatnonzero(~edge)
-        empty = {"strings": pa.binary(), "doc": pa.int64()}
-        # A slice at a time, cut between groups of equal leading bytes.
         cuts = [0]
-        new = np.flatnonzero(np.r_[True, (k1[inner][1:] != k1[inner][:-1]) | (k2[inner][1:] != k2[inner][:-1])]) if len(inner) else []
-        for c in new:
-            if c - cuts[-1] >= 20_000:
-                cuts.append(int(c))
-        cuts.append(len(inner))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = inner[a:b]
+        if len(inner):
+            for c in np.flatnonzero((k1[inner][1:] != k1[inner][:-1]) | (k2[inner][1:] != k2[inner][:-1])) + 1:
+                if c - cuts[-1] >= SLICE_ROWS:
+                    cuts.append(int(c))
+        slices = [(inner[a:b], False) for a, b in zip(cuts, [*cuts[1:], len(inner)], strict=True)]
+        for own, is_edge in [*slices, (np.flatnonzero(edge), True)]:
             if not len(own):
                 continue
             part = table.take(pa.array(own))
-            row, first, end = repeated_runs(part["strings"].to_pylist(), doc[own])
-            at = start[own][row]
-            for s in range(0, len(row), 10_000):
-                pick = pa.array(row[s : s + 10_000])
-                size = len(pick)
-                arrays = [part["chunk"].take(pick).combine_chunks(), part["row"].take(pick).combine_chunks(), pa.array((at + first)[s : s + size].astype(np.int32)), pa.array((at + end)[s : s + size].astype(np.int32))]
-                yield _batch(arrays, size, empty)
-        outer = table.take(pa.array(np.flatnonzero(edge))).select(["chunk", "row", "start", "strings", "doc"])
-        for part in outer.to_batches(max_chunksize=10_000):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.nulls(part.num_rows, pa.int32()), part.column(3), part.column(4)], names=NAMES)
+            strings = part["strings"].to_pylist()
+            (row, first, end), (head, step) = repeated_runs(strings, doc[own])
+            yield from _found(part, row, start[own][row] + first, start[own][row] + end)
+            if is_edge:
+                yield from _found(part, head, start[own][head] + step, None, [strings[r][a : a + LENGTH] for r, a in zip(head.tolist(), step.tolist(), strict=True)])
 
     schema = "chunk bigint, row int, start int, end int, strings binary, doc bigint"
     made = materialize(ordered.mapInArrow(run, schema), "repeats")
-    # Suffixes at the ends of buckets: compared across boundaries, string by string.
-    count = F.length("strings") - LENGTH
-    each = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(i.alias("at"), F.substring(F.col("strings"), i + 1, LENGTH).alias("string")))
-    outer = made.where("end IS NULL").select("chunk", "row", "start", "doc", F.inline(each))
-    firsts = outer.groupBy("string").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("string", "first")
+    # Heads at the ends of buckets: compared across boundaries, string by string.
+    heads = made.where("end IS NULL").select("chunk", "row", "start", "doc", "strings")
+    firsts = heads.groupBy("strings").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("strings", "first")
     firsts = materialize(firsts, "boundary")
-    across = outer.join(firsts, "string").where("doc > first")
-    across = across.select("chunk", "row", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + LENGTH).alias("end"))
+    across = heads.join(firsts, "strings").where("doc > first").select("chunk", "row", "start", (F.col("start") + LENGTH).alias("end"))
     return made.where("end IS NOT NULL").select("chunk", "row", "start", "end").unionByName(across)
 
 
-NAMES = ["chunk", "row", "start", "end", "strings", "doc"]
-
-
-def _batch(arrays, size, empty):
-    return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(size, k) for k in empty.values()]], names=NAMES)
+#: Suffixes that one slice of a bucket holds, about.
+SLICE_ROWS = 20_000
+
+
+def _found(part: pa.Table, row: np.ndarray, start: np.ndarray, end: np.ndarray | None, strings: list[bytes] | None = None):
+    """Batches of runs, or of heads with their strings."""
+    for s in range(0, len(row), 10_000):
+        pick = pa.array(row[s : s + 10_000])
+        n = len(pick)
+        take = lambda c: part[c].take(pick).combine_chunks()  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays(
+            [
+                take("chunk"),
+                take("row"),
+                pa.array(start[s : s + n].astype(np.int32)),
+                pa.nulls(n, pa.int32()) if end is None else pa.array(end[s : s + n].astype(np.int32)),
+                pa.nulls(n, pa.binary()) if strings is None else pa.array(strings[s : s + n], pa.binary()),
+                take("doc"),
+            ],
+            names=["chunk", "row", "start", "end", "strings", "doc"],
+        )
 
 
 def _merged(spans) -> list[tuple[int, int]]:
