@@ -12,7 +12,7 @@ METRICS = {
     "revenue": (MONEY, 0, "USD", "sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,4)))"),
     "gross": (MONEY, 0, "USD", "sum(cast(l_extendedprice as decimal(18,4)))"),
     "returned": (MONEY, 0, "USD", "sum(case when l_returnflag = 'R' then cast(l_extendedprice as decimal(18,4)) else 0 end)"),
-    "margin": (MONEY, 0, "USD", "sum(cast(l_extendedprice * (0.95 - l_discount) as decimal(18,4)))"),
+    "margin": (MONEY, 0, "USD", "sum(cast(l_extendedprice * (0.05 - l_discount) as decimal(18,4)))"),
     "quantity": (COUNT, 0, None, "sum(cast(l_quantity as decimal(18,4)))"),
     "orders": (COUNT, 0, None, "count(distinct l_orderkey)"),
 }
