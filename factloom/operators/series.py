@@ -45,8 +45,8 @@ def comparable(df: DataFrame) -> DataFrame:
     """Bring values to scale 0; money without a scale abstains as ``UNKNOWN_SCALE``."""
     unknown = (F.col("dimension") == "money") & F.col("scale").isNull()
     factor = F.pow(F.lit(10.0), F.coalesce(F.col("scale"), F.lit(0)))
-    out = ok(df).withColumn("value", F.col("value") * factor).withColumn("scale", F.lit(0))
-    return abstain(out, F.when(unknown, "UNKNOWN_SCALE"))
+    out = ok(df).withColumn("value", F.col("value") * factor)
+    return abstain(out, F.when(unknown, "UNKNOWN_SCALE")).withColumn("scale", F.lit(0))
 
 
 def convert(value: Column, source: str, target: str, source_scale: Column | int = 0, target_scale: Column | int = 0) -> Column:

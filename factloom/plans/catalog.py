@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import program_queries, series_queries, table_queries
+from factloom.plans import program_queries, series_queries, source_queries, table_queries
 from factloom.plans.registry import Query
 
-MODULES = (series_queries, table_queries, program_queries)
+MODULES = (series_queries, table_queries, program_queries, source_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
