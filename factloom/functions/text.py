@@ -25,10 +25,11 @@ def _fold_table() -> tuple[str, str]:
 
 
 def fold(text: Column | str) -> Column:
-    """Lower case without marks: composed letters by table, combining marks dropped."""
+    """Lower case without marks: composed letters by table, combining marks dropped; ASCII text is only lowered."""
     source, target = _fold_table()
     column = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(F.lower(F.translate(column, source, target)), r"[̀-ͯ]", "")
+    full = F.regexp_replace(F.lower(F.translate(column, source, target)), r"[̀-ͯ]", "")
+    return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(full)
 
 
 def normalize_search(text: Column | str) -> Column:
@@ -48,7 +49,7 @@ def clean(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Tokens of letters and digits of the folded text."""
-    return F.filter(F.split(normalize_search(text), r"[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(fold(text), r"[^a-z0-9]+"), lambda w: w != "")
 
 
 def content_terms(text: Column | str, stopwords: tuple[str, ...] = STOPWORDS) -> Column:

@@ -15,18 +15,29 @@ BONUSES = {"period": 0.35, "unit": 0.15, "statement": 0.10, "basis": 0.30, "code
 CLEAN_FLOOR = 0.70
 
 
-def inverted_index(df: DataFrame, uid: str, fields: list[str]) -> DataFrame:
-    """``uid, field, term, tf``: one row per term of a field."""
-    parts = [df.select(F.col(uid).alias("uid"), F.lit(f).alias("field"), F.explode(tx.words(f)).alias("term")) for f in fields]
-    return reduce(DataFrame.unionByName, parts).groupBy("uid", "field", "term").agg(F.count("*").alias("tf"))
+def inverted_index(df: DataFrame, uid: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
+    """``uid, length, field, term, tf``: one row per term of a field, with the tokens of all fields of its document.
+
+    Every text is tokenised once; stored, this table serves any number of searches.  For a single search,
+    ``only`` (a table of ``term``) keeps other terms from being counted and shuffled.
+    """
+    split = df.select(F.col(uid).alias("uid"), *[tx.words(f).alias(f"_{n}") for n, f in enumerate(fields)])
+    sizes = [F.coalesce(F.size(f"_{n}"), F.lit(0)) for n in range(len(fields))]
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{n}").alias("words")) for n, f in enumerate(fields)])
+    per_field = split.select("uid", sum(sizes[1:], sizes[0]).alias("length"), F.inline(rows))
+    terms = per_field.select("uid", "length", "field", F.explode("words").alias("term"))
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
+    return terms.groupBy("uid", "length", "field", "term").agg(F.count("*").alias("tf"))
 
 
-def lengths(df: DataFrame, uid: str, fields: list[str]) -> DataFrame:
-    """``uid, length``: tokens of all fields."""
-    return df.select(F.col(uid).alias("uid"), sum((F.size(tx.words(f)) for f in fields[1:]), F.size(tx.words(fields[0]))).alias("length"))
+def corpus_size(df: DataFrame, fields: list[str]) -> DataFrame:
+    """``total, mean``: number of documents and their mean length in tokens."""
+    sizes = [F.coalesce(F.size(tx.words(f)), F.lit(0)) for f in fields]
+    return df.select(sum(sizes[1:], sizes[0]).alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
 
 
-def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, weights: dict[str, float]) -> DataFrame:
+def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, weights: dict[str, float]) -> DataFrame:
     """``query_id, uid, score`` for ``queries (query_id, term)``.
 
     ``idf = ln((N - n + 0.5) / (n + 0.5))``, at least 1e-6, over all documents; term frequencies are weighted
@@ -35,12 +46,11 @@ def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, weights: dict[s
     weight = F.element_at(F.create_map(*[x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))]), F.col("field"))
     terms = queries.select("query_id", "term").distinct()
     wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    weighted = wanted.groupBy("uid", "term").agg(F.sum(F.col("tf") * weight).alias("wtf"))
-    found = wanted.groupBy("term").agg(F.count_distinct("uid").alias("n"))
-    corpus = sizes.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
+    weighted = wanted.groupBy("uid", "length", "term").agg(F.sum(F.col("tf") * weight).alias("wtf"))
+    found = weighted.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    joined = weighted.join(found, "term").join(sizes, "uid").join(F.broadcast(corpus))
+    joined = weighted.join(found, "term").join(F.broadcast(corpus))
     scored = joined.select("uid", "term", (idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + norm)).alias("part"))
     return terms.join(scored, "term").groupBy("query_id", "uid").agg(F.sum("part").alias("score"))
 

@@ -372,7 +372,7 @@ BM25_SQL = (
 def _scores(spark, sf_dir):
     docs = tb.table(spark, sf_dir, "documents").select("doc_id", "text")
     queries = spark.createDataFrame(TERMS, "query_id string, term string")
-    return re_.bm25(re_.inverted_index(docs, "doc_id", ["text"]), re_.lengths(docs, "doc_id", ["text"]), queries, {"text": 1.0})
+    return re_.bm25(re_.inverted_index(docs, "doc_id", ["text"], queries), re_.corpus_size(docs, ["text"]), queries, {"text": 1.0})
 
 
 @query(BM25_SQL + " select query_id, uid, round(score, 6) as score from s")
