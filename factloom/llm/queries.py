@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, language_id, license_scan, line_dedup, media, near_dedup, packing, suffix_dedup, token_counts
+from . import decontamination, html_extract, language_id, license_scan, line_dedup, media, near_dedup, oracles, packing, suffix_dedup, token_counts
 from .common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE_SQL}
+    return oracles.oracle_sql()
