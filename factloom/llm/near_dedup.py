@@ -328,12 +328,36 @@ def _through_hubs(left: DataFrame, links: DataFrame) -> DataFrame:
     return far.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), F.lit(0).cast("bigint").alias("votes")).distinct()
 
 
+def _exhaustive(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """For pairs still apart, the node of the smaller component with every node of the larger one.
+
+    In a crowd of documents just below the threshold, the one link of a node may be to a document that no
+    tree put next to it; what is left there is compared in full.
+    """
+    sizes = materialize(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
+    known = materialize(labels.join(sizes, "label").select("node", "label", "size"), "members")
+    one = known.select(F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"))
+    two = known.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"))
+    both = left.select("a", "b").join(one, "a", "left").join(two, "b", "left")
+    side = lambda x: F.struct(F.coalesce(f"size_{x}", F.lit(1)).alias("size"), F.coalesce(f"label_{x}", x).alias("label"))
+    small = side("a") < side("b")
+    asked = both.select(
+        F.when(small, F.col("a")).otherwise(F.col("b")).alias("node"),
+        F.when(small, F.coalesce("label_b", "b")).otherwise(F.coalesce("label_a", "a")).alias("label"),
+    ).distinct()
+    # A component of one node is that node itself, which the pair already named.
+    asked = materialize(asked, "asked")
+    found = asked.join(known.select("label", F.col("node").alias("other")), "label")
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.lit(0).cast("bigint").alias("votes"))
+
+
 def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame | None:
     """``node, label`` of all nodes that have a link, or None without candidates.
 
-    Round by round: each node's best candidate; then what is still apart, and both sides with the hubs of
-    the other; last all that remains.  A pair is left out only where its nodes are connected already or
-    their signatures rule a link out.
+    Round by round: each node's best candidate; then each node's best of what is still apart and of the
+    other side's hubs; then all that remains; last, nodes that stay apart against whole neighbouring
+    components.  A pair is left out only where its nodes are connected already or their signatures rule a
+    link out.
     """
     pairs = candidates(nodes)
     if pairs.isEmpty():
@@ -344,14 +368,17 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
     links = materialize(_confirmed(_best_partners(pairs), texts, size, threshold), "confirmed")
     labels = components(links)
     left = materialize(_between(pairs, labels), "pairs-left")
-    for last in (False, True):
+    for stage in ("best", "all", "exhaustive"):
         if left.isEmpty():
             break
-        if not last:
+        if stage == "best":
             left = materialize(_alike(left.unionByName(_between(_through_hubs(left, links), labels)).dropDuplicates(["a", "b"]), nodes), "pairs-left")
-        links = materialize(links.unionByName(_confirmed(left if last else _best_partners(left), texts, size, threshold)), "confirmed")
-        labels = components(links)
-        left = materialize(_between(left, labels), "pairs-left")
+        tried = {"best": _best_partners, "all": lambda p: p, "exhaustive": lambda p: _alike(_exhaustive(p, labels), nodes)}[stage](left)
+        fresh = materialize(_confirmed(tried, texts, size, threshold), "confirmed")
+        if not fresh.isEmpty():
+            links = materialize(links.unionByName(fresh), "confirmed")
+            labels = components(links)
+            left = materialize(_between(left, labels), "pairs-left")
     return labels
 
 

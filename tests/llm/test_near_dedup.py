@@ -113,3 +113,14 @@ def test_boundaries_lose_no_region(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset(coalesce)
+
+
+def test_the_one_link_out_of_a_crowd_below_the_threshold(spark):
+    """Copies that are alike but not enough so, and some pairs among them that just are."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(n, " ".join(edited(rng, base, 24))) for n in range(150)]
+    rows += [(1000 + n, " ".join(edited(rng, rows[n][1].split(), 15))) for n in range(0, 150, 6)]
+    want = brute(rows, 2)
+    assert len({c for _, c in want.values()}) > 100
+    assert result(nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=2)) == want
