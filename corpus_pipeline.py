@@ -38,10 +38,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    found = near_dedup.near_duplicates(docs)
+    """One document of each near-duplicate group stays, the one with the smallest id; of repeated rows one stays."""
+    found = materialize(near_dedup.near_duplicates(docs), "near")
     gone = found.where("NOT kept").select(F.col("id").alias("_id")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone["_id"]), "left_anti")
+    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone["_id"]), "left_anti")
+    again = materialize(found.where("kept").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id")), "again")
+    if again.isEmpty():
+        return kept
+    same = kept.doc_id.eqNullSafe(again["_id"])
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
