@@ -62,8 +62,9 @@ SPACE = re.compile(r"\s+")
 LEAST_PAGES = 8
 #: Cells of the table that aligns two structures; beyond, all slots are kept as optional ones without aligning.
 ALIGN_CELLS = 4_000_000
-#: Wrappers of this many hosts go to every task at once; with more hosts, pages meet their wrapper in a join.
+#: Wrappers of this many hosts and bytes go to every task at once; beyond, pages meet their wrapper in a join.
 BROADCAST_HOSTS = 20_000
+BROADCAST_BYTES = 32 << 20
 #: Hosts whose wrappers a task holds before it hands them on.
 TASK_HOSTS = 5_000
 
@@ -321,7 +322,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("page")
     )
-    few = wrappers.count() <= BROADCAST_HOSTS
+    size = wrappers.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0)).alias("bytes")).first()
+    few = size.hosts <= BROADCAST_HOSTS and size.bytes <= BROADCAST_BYTES
     held = None
     if few:
         held = spark.sparkContext.broadcast({r.host: main_slots(loaded(r.wrapper), r.pages) for r in wrappers.toLocalIterator()})

@@ -26,7 +26,9 @@ SAMPLE = 300
 CLUSTERS = 4
 ROUNDS = 12
 #: A text is rejected below this share of the smallest cosine that training texts of its length reach.
-REJECT = 0.5
+REJECT = 0.2
+#: No text is accepted below this cosine, however short.
+FLOOR = 0.02
 BAND_LEAST = 10
 UNKNOWN = "und"
 CHUNK = 1 << 20
@@ -92,7 +94,7 @@ class Model:
                 out.append((UNKNOWN, 0.0, True))
                 continue
             score = float(min(1.0, max(0.0, cosines[row, best[row]])))
-            out.append((self.labels[best[row]], score, score <= 0 or score < self.least[band(n)]))
+            out.append((self.labels[best[row]], score, score < max(FLOOR, self.least[band(n)])))
         return out
 
 
