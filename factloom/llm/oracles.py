@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import license_scan, line_dedup
 
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -89,8 +89,52 @@ FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def license_scan_sql() -> str:
+    """The whole scan: grams of the templates as values, diagonals, merged parts, coverage."""
+    texts = [(p, label, True) for p, label in license_scan.PHRASES.items()] + [(t, label, False) for label, t in license_scan.TEMPLATES]
+    values = ", ".join(f"({n}, '{label}', {str(exact).lower()}, '{text}')" for n, (text, label, exact) in enumerate(texts))
+    k, drift, least = license_scan.GRAM, license_scan.DRIFT, license_scan.COVERAGE
+    return f"""
+WITH templates AS (
+  SELECT template, label, exact, string_split(body, ' ') AS w FROM (VALUES {values}) AS v(template, label, exact, body)
+), template_grams AS (
+  SELECT template, label, exact, len(w) AS size, at_, array_to_string(w[at_ + 1 : at_ + {k}], ' ') AS gram
+  FROM (SELECT *, unnest(range(0, len(w) - {k - 1})) AS at_ FROM templates)
+), docs AS (
+  SELECT doc_id, {WORDS.format("text")} AS w FROM documents
+), grams AS (
+  SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + {k}], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - {k - 1})) AS pos FROM docs WHERE len(w) >= {k})
+), met AS (
+  SELECT g.doc_id, t.template, t.label, t.exact, t.size, t.at_, g.pos - t.at_ AS diagonal FROM grams g JOIN template_grams t USING (gram)
+), diagonals AS (
+  SELECT DISTINCT doc_id, template, exact, diagonal FROM met
+), stepped AS (
+  SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS step FROM diagonals
+), parts AS (
+  SELECT doc_id, template, diagonal,
+    sum(CASE WHEN step <= {drift} AND NOT exact THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM stepped
+), spans AS (
+  SELECT m.doc_id, m.template, any_value(m.label) AS label, any_value(m.exact) AS exact, min(m.diagonal) AS start,
+    len(list_distinct(flatten(list(range(m.at_, m.at_ + {k}))))) / any_value(m.size) AS covered
+  FROM met m JOIN parts p USING (doc_id, template, diagonal) GROUP BY m.doc_id, m.template, p.part
+), judged AS (
+  SELECT *, exact AND covered = 1.0 AS base, (exact AND covered = 1.0) OR (NOT exact AND covered >= {least}) AS found FROM spans
+), per_doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found) AS labels, max(covered) AS score
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs d LEFT JOIN per_doc p ON p.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_license_scan": license_scan_sql(),
         "op4_near_dedup": NEAR_DEDUP,
         "op5_suffix_dedup": SUFFIX_DEDUP,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
