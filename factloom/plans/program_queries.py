@@ -328,16 +328,13 @@ undefined = revenue / (gross - gross)
     W + ", r as (select *, (orders + lag(orders) over (partition by entity order by period)) / 2 as mean_orders from w), "
     "v as (select entity, period, unnest(['margin_share', 'return_rate', 'net_to_gross', 'average_order', 'average_order_rolling', 'undefined']) as formula, "
     "unnest([margin / gross * 100, returned / gross * 100, (revenue - returned) / gross, revenue / orders, revenue / mean_orders, null]) as value from r) "
-    "select entity, period, formula, round(value, 4) as value, case when value is null then 'ABSTAIN' else 'OK' end as status, "
+    "select entity, period, formula, round(value, 8) as value, case when value is null then 'ABSTAIN' else 'OK' end as status, "
     "case when formula = 'undefined' then 'ZERO_DENOMINATOR' when value is null then 'TOO_FEW_PERIODS' end as reason from v"
 )
 def formula_registry_pivot(spark, sf_dir):
     wide = tb.wide_facts(spark, sf_dir, ["margin", "gross", "returned", "revenue", "orders"])
     out = fo.evaluate(wide, list(fo.registry(OURS).values()))
-    return out.withColumn("value", F.round("value", 4))
-
-
-STATEMENT = ["total_liabilities", "equity", "total_assets", "current_assets", "current_liabilities", "inventory", "net_revenue", "profit_after_tax"]
+    return out.withColumn("value", F.round("value", 8))
 
 
 @query(

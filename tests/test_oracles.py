@@ -22,7 +22,7 @@ def duck(sf_dir):
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 4)
+        return None if math.isnan(value) else round(value, 3)
     return value
 
 
