@@ -29,6 +29,8 @@ KEYS = [f"k{n}" for n in range(len(DEPTHS))]
 #: Candidates are looked up in full unless their signatures agree on less than this share (five deviations below 0.8).
 SIGNATURE_LEAST = 0.62
 BLOCK = 4096
+#: Nodes on either side of a block in which whole components are compared.
+COMPARE = 256
 CACHE_WORDS = 400_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -328,11 +330,32 @@ def _through_hubs(left: DataFrame, links: DataFrame) -> DataFrame:
     return far.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), F.lit(0).cast("bigint").alias("votes")).distinct()
 
 
-def _exhaustive(left: DataFrame, labels: DataFrame) -> DataFrame:
-    """For pairs still apart, the node of the smaller component with every node of the larger one.
+def _first_links(asked: list[set], members: list[set], threshold: int) -> list[int | None]:
+    """For each set the member of largest overlap that reaches the threshold, counted along an inverted index."""
+    postings: dict[tuple, list[int]] = {}
+    for n, member in enumerate(members):
+        for shingle in member:
+            postings.setdefault(shingle, []).append(n)
+    sizes = np.array([len(m) for m in members], np.int64)
+    out: list[int | None] = []
+    for own in asked:
+        met = [postings[s] for s in own if s in postings]
+        if not met:
+            out.append(None)
+            continue
+        both = np.bincount(np.concatenate(met), minlength=len(members))
+        fits = np.flatnonzero(100 * both >= threshold * (sizes + len(own) - both))
+        out.append(int(fits[both[fits].argmax()]) if len(fits) else None)
+    return out
+
+
+def _exhaustive(left: DataFrame, labels: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """``a, b``: links of pairs still apart, found by asking the node of the smaller component in all of the larger.
 
     In a crowd of documents just below the threshold, the one link of a node may be to a document that no
-    tree put next to it; what is left there is compared in full.
+    tree put next to it.  The nodes asked and the members they are compared with meet in blocks of
+    ``COMPARE`` by ``COMPARE``, where overlaps are counted exactly; one link into a component is enough, so
+    pairs never become rows.
     """
     sizes = materialize(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
     known = materialize(labels.join(sizes, "label").select("node", "label", "size"), "members")
@@ -341,14 +364,35 @@ def _exhaustive(left: DataFrame, labels: DataFrame) -> DataFrame:
     both = left.select("a", "b").join(one, "a", "left").join(two, "b", "left")
     side = lambda x: F.struct(F.coalesce(f"size_{x}", F.lit(1)).alias("size"), F.coalesce(f"label_{x}", x).alias("label"))
     small = side("a") < side("b")
+    # A component of one node is that node itself, which the pair already named.
     asked = both.select(
         F.when(small, F.col("a")).otherwise(F.col("b")).alias("node"),
-        F.when(small, F.coalesce("label_b", "b")).otherwise(F.coalesce("label_a", "a")).alias("label"),
-    ).distinct()
-    # A component of one node is that node itself, which the pair already named.
-    asked = materialize(asked, "asked")
-    found = asked.join(known.select("label", F.col("node").alias("other")), "label")
-    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.lit(0).cast("bigint").alias("votes"))
+        F.when(small, F.col("label_b")).otherwise(F.col("label_a")).alias("label"),
+        F.when(small, F.col("size_b")).otherwise(F.col("size_a")).alias("size"),
+    )
+    asked = materialize(asked.where("label IS NOT NULL").distinct(), "asked")
+    crowd = materialize(asked.groupBy("label").agg(F.count("*").alias("n"), F.first("size").alias("size")), "crowd")
+    blocks = lambda n: F.ceil(F.col(n) / COMPARE).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    keys = ["label", "row", "column"]
+    questions = asked.join(crowd.select("label", "n"), "label").select("label", "node", own("n").alias("row"), every("size").alias("column"))
+    members = known.select("node", "label").join(crowd, "label").select("label", "node", own("size").alias("column"), every("n").alias("row"))
+    sides = []
+    for name, df in (("q", questions), ("m", members)):  # every column anew, as both sides come from the same tables
+        rows = df.select(*keys, "node").join(texts, "node")
+        sides.append(rows.select(*[F.col(c).alias(f"{name}_{c}") for c in (*keys, "node", "text")]))
+
+    def run(asked_rows: pa.Table, member_rows: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        sets = [[shingles(blank_words(unpack.decompress(t)), size) for t in rows[name].to_pylist()] for name, rows in (("q_text", asked_rows), ("m_text", member_rows))]
+        found = _first_links(*sets, threshold) if member_rows.num_rows else [None] * asked_rows.num_rows
+        nodes = member_rows["m_node"].to_pylist()
+        made = [(min(n, nodes[m]), max(n, nodes[m])) for n, m in zip(asked_rows["q_node"].to_pylist(), found, strict=True) if m is not None]
+        return pa.table({"a": pa.array([x for x, _ in made], pa.int64()), "b": pa.array([y for _, y in made], pa.int64())})
+
+    grouped = [side.groupBy(*[f"{name}_{k}" for k in keys]) for name, side in zip("qm", sides, strict=True)]
+    return grouped[0].cogroup(grouped[1]).applyInArrow(run, "a bigint, b bigint")
 
 
 def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame | None:
@@ -373,8 +417,11 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
             break
         if stage == "best":
             left = materialize(_alike(left.unionByName(_between(_through_hubs(left, links), labels)).dropDuplicates(["a", "b"]), nodes), "pairs-left")
-        tried = {"best": _best_partners, "all": lambda p: p, "exhaustive": lambda p: _alike(_exhaustive(p, labels), nodes)}[stage](left)
-        fresh = materialize(_confirmed(tried, texts, size, threshold), "confirmed")
+        if stage == "exhaustive":
+            fresh = _exhaustive(left, labels, texts, size, threshold)
+        else:
+            fresh = _confirmed(_best_partners(left) if stage == "best" else left, texts, size, threshold)
+        fresh = materialize(fresh, "confirmed")
         if not fresh.isEmpty():
             links = materialize(links.unionByName(fresh), "confirmed")
             labels = components(links)
