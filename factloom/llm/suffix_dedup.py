@@ -125,9 +125,13 @@ def _opened(blob: bytes, sizes: list[int]) -> tuple[bytes, np.ndarray, np.ndarra
 
 
 def _keys(data: np.ndarray, ends: np.ndarray, bits: int):
-    """A chunk's anchors, its distinct hashes in order, and where each anchor and each bucket lies in them."""
+    """A chunk's anchors, its distinct hashes in order, and where each anchor and each bucket lies in them.
+
+    Anchors have the smallest hashes of their strings, so they are mixed anew to fill all buckets alike.
+    """
     place, hashes, first, last = anchors(data, ends)
-    short = hashes >> np.uint64(64 - bits - HASH_BITS)
+    mixed = (hashes ^ (hashes >> np.uint64(33))) * _M2
+    short = (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(64 - bits - HASH_BITS)
     distinct, at = np.unique(short, return_inverse=True)
     bounds = np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(HASH_BITS))
     return place, first, last, distinct, at, np.append(bounds, len(distinct))

@@ -106,3 +106,11 @@ def test_multikey_groups():
     got = sd.multikey_groups(columns)
     rows = list(zip(*(c.tolist() for c in columns), strict=True))
     assert len(set(zip(rows, got.tolist(), strict=True))) == len(set(rows)) == len(set(got.tolist()))
+
+
+def test_buckets_fill_alike():
+    rng = random.Random(5)
+    data = np.frombuffer("".join(rng.choice("abcdefgh ") for _ in range(200_000)).encode(), np.uint8)
+    *_, bounds = sd._keys(data, np.array([200_000]), 4)
+    sizes = np.diff(bounds)
+    assert len(sizes) == 16 and sizes.max() < 1.3 * sizes.mean()
