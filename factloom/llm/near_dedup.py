@@ -287,9 +287,10 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in sliced(batches, 2048):
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (4, 5))
             equal = (x == y).sum(axis=1)
-            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(equal.astype(np.int64))], names=["a", "b", "votes"])
+            columns = [batch.column(0), batch.column(1), pa.array(equal.astype(np.int64)), batch.column(2), batch.column(3)]
+            made = pa.RecordBatch.from_arrays(columns, names=["a", "b", "votes", "label_a", "label_b"])
             yield made.filter(pa.array(equal >= SIGNATURE_LEAST * HASHES))
 
     def brief(batches):
@@ -300,8 +301,9 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     short = nodes.select("node", "sketch").mapInArrow(brief, "node bigint, brief binary")
     one = short.select(F.col("node").alias("a"), F.col("brief").alias("brief_a"))
     two = short.select(F.col("node").alias("b"), F.col("brief").alias("brief_b"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "brief_a", "brief_b")
-    return joined.mapInArrow(run, "a bigint, b bigint, votes bigint")
+    joined = pairs.select("a", "b", "label_a", "label_b").join(one, "a").join(two, "b")
+    joined = joined.select("a", "b", "label_a", "label_b", "brief_a", "brief_b")
+    return joined.mapInArrow(run, "a bigint, b bigint, votes bigint, label_a bigint, label_b bigint")
 
 
 def _best_partners(pairs: DataFrame) -> DataFrame:
@@ -312,11 +314,12 @@ def _best_partners(pairs: DataFrame) -> DataFrame:
 
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose nodes are not connected yet."""
+    """Pairs whose nodes are not connected yet, with the labels of both; a node without links is its own."""
     one = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
     two = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    joined = pairs.join(one, "a", "left").join(two, "b", "left")
-    return joined.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "votes")
+    joined = pairs.select("a", "b", "votes").join(one, "a", "left").join(two, "b", "left")
+    named = joined.select("a", "b", "votes", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
+    return named.where("label_a <> label_b")
 
 
 def _through_hubs(left: DataFrame, links: DataFrame) -> DataFrame:
@@ -359,18 +362,14 @@ def _exhaustive(left: DataFrame, labels: DataFrame, texts: DataFrame, size: int,
     """
     sizes = materialize(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
     known = materialize(labels.join(sizes, "label").select("node", "label", "size"), "members")
-    one = known.select(F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"))
-    two = known.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"))
-    both = left.select("a", "b").join(one, "a", "left").join(two, "b", "left")
-    side = lambda x: F.struct(F.coalesce(f"size_{x}", F.lit(1)).alias("size"), F.coalesce(f"label_{x}", x).alias("label"))
+    of = lambda x: sizes.select(F.col("label").alias(f"label_{x}"), F.col("size").alias(f"size_{x}"))
+    both = left.select("a", "b", "label_a", "label_b").join(of("a"), "label_a", "left").join(of("b"), "label_b", "left")
+    side = lambda x: F.struct(F.coalesce(f"size_{x}", F.lit(1)).alias("size"), F.col(f"label_{x}").alias("label"))
     small = side("a") < side("b")
-    # A component of one node is that node itself, which the pair already named.
-    asked = both.select(
-        F.when(small, F.col("a")).otherwise(F.col("b")).alias("node"),
-        F.when(small, F.col("label_b")).otherwise(F.col("label_a")).alias("label"),
-        F.when(small, F.col("size_b")).otherwise(F.col("size_a")).alias("size"),
-    )
-    asked = materialize(asked.where("label IS NOT NULL").distinct(), "asked")
+    pick = lambda first, second: F.when(small, F.col(first)).otherwise(F.col(second))
+    asked = both.select(pick("a", "b").alias("node"), pick("label_b", "label_a").alias("label"), pick("size_b", "size_a").alias("size"))
+    # A component of one node has no size here: it is that node itself, which the pair already named.
+    asked = materialize(asked.where("size IS NOT NULL").distinct(), "asked")
     crowd = materialize(asked.groupBy("label").agg(F.count("*").alias("n"), F.first("size").alias("size")), "crowd")
     blocks = lambda n: F.ceil(F.col(n) / COMPARE).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
@@ -416,7 +415,9 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
         if left.isEmpty():
             break
         if stage == "best":
-            left = materialize(_alike(left.unionByName(_between(_through_hubs(left, links), labels)).dropDuplicates(["a", "b"]), nodes), "pairs-left")
+            left = materialize(_alike(left, nodes), "pairs-left")
+            more = _alike(_between(_through_hubs(left, links), labels), nodes)
+            left = materialize(left.unionByName(more).dropDuplicates(["a", "b"]), "pairs-left")
         if stage == "exhaustive":
             fresh = _exhaustive(left, labels, texts, size, threshold)
         else:
