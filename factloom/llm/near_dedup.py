@@ -1,10 +1,12 @@
 """MinHash near-dedup with an LSH forest.
 
 Documents with equal shingle sets are one node.  Every tree of the forest sorts all nodes by its own
-order of minhash values; nodes that share a prefix form a region.  Neighbours in sorted order (longest
-common prefixes) and the node at the end of a region's heaviest path, found by going as deep as the
-region stays crowded, are candidates, so candidates grow with the nodes and not with the pairs of a
-region.  Candidates are confirmed on full shingle sets in rounds that skip what is connected already.
+order of minhash values; nodes that share a prefix form a region.  Neighbours in the order of the
+prefixes' hashes at ``DEPTHS`` and the node at the end of a region's heaviest path, found by going as
+deep as the region stays crowded, are candidates, so candidates grow with the nodes and not with the
+pairs of a region.  Candidates are confirmed on full shingle sets in rounds that skip what is connected
+already.  Last, whole regions are compared block by block, by signatures and then by shingles, so that
+a link between two nodes of a crowd is found also where no tree made them candidates.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ SIGNATURE_LEAST = 0.62
 BLOCK = 4096
 #: Nodes on either side of a block in which whole components are compared.
 COMPARE = 256
+#: Nodes on either side of a block in which regions are compared by signatures, and crowds by shingles.
+REGION_BLOCK = 1024
+CROWD_BLOCK = 512
 CACHE_WORDS = 400_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -293,12 +298,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             made = pa.RecordBatch.from_arrays(columns, names=["a", "b", "votes", "label_a", "label_b"])
             yield made.filter(pa.array(equal >= SIGNATURE_LEAST * HASHES))
 
-    def brief(batches):
-        for batch in sliced(batches, 1024):
-            made = [bytes(s[::4]) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "brief"])
-
-    short = nodes.select("node", "sketch").mapInArrow(brief, "node bigint, brief binary")
+    short = _briefs(nodes)
     one = short.select(F.col("node").alias("a"), F.col("brief").alias("brief_a"))
     two = short.select(F.col("node").alias("b"), F.col("brief").alias("brief_b"))
     joined = pairs.select("a", "b", "label_a", "label_b").join(one, "a").join(two, "b")
@@ -394,13 +394,168 @@ def _exhaustive(left: DataFrame, labels: DataFrame, texts: DataFrame, size: int,
     return grouped[0].cogroup(grouped[1]).applyInArrow(run, "a bigint, b bigint")
 
 
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the symmetric matrix ``near`` that connect all that it connects."""
+    seen = np.zeros(len(near), bool)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in np.flatnonzero(near.any(axis=1)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        front = np.array([root])
+        while len(front):
+            rows = near[front] & ~seen
+            fresh = np.flatnonzero(rows.any(axis=0))
+            left.append(front[rows[:, fresh].argmax(axis=0)])
+            right.append(fresh)
+            seen[fresh] = True
+            front = fresh
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _near(briefs: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which nodes of different components have signatures that allow a link."""
+    n = len(label)
+    if n <= 64:
+        equal = (briefs[:, None] == briefs[None]).sum(axis=2)
+    else:
+        equal = np.zeros((n, n), np.uint8)
+        for value in np.ascontiguousarray(briefs.T):
+            equal += value[:, None] == value
+    return (equal >= SIGNATURE_LEAST * HASHES) & (label[:, None] != label)
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, column = owner[counts[column] > 1], column[counts[column] > 1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.cumsum(_starts(column[order])) - 1
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK):
+        own = slice(*np.searchsorted(column, [start, start + BLOCK]))
+        dense = np.zeros((len(sets), BLOCK), np.float32)
+        dense[owner[own], column[own] - start] = 1
+        both += dense @ dense.T
+    return both.astype(np.int64)
+
+
+def _groups(batches, width: int):
+    """The rows of each key, the first ``width`` columns, of batches sorted by it."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        firsts = np.flatnonzero(_starts(*[rows.column(k).to_numpy() for k in range(width)]))
+        for start, end in zip(firsts[:-1], firsts[1:], strict=True):
+            yield rows.slice(start, end - start)
+        held = rows.slice(firsts[-1])
+    if held is not None:
+        yield held
+
+
+def _in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``key, row, column, ..``: rows of a key with ``n`` of them dealt to all pairs of its blocks, a block by the node's hash."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("node", key), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = [c for c in rows.columns if c not in (key, "n", "_own", "_other")]
+    rows = rows.select(key, F.least("_own", "_other").alias("row"), F.greatest("_own", "_other").alias("column"), *rest)
+    return rows.repartition(key, "row", "column").sortWithinPartitions(key, "row", "column")
+
+
+def _briefs(nodes: DataFrame) -> DataFrame:
+    """``node, brief``: one byte of each signature value."""
+
+    def run(batches):
+        for batch in sliced(batches, 1024):
+            made = [bytes(s[::4]) for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "brief"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "node bigint, brief binary")
+
+
+def _edges(found) -> pa.RecordBatch:
+    low, high = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high)), pa.array(np.maximum(low, high))], names=["a", "b"])
+
+
+def _crowds(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b`` that connect all nodes of different components that share a region and have signatures that allow a link.
+
+    Regions of two nodes are left out, as their nodes are candidates.  A block hands on a spanning forest of
+    its pairs, so a crowd's edges grow with its nodes and blocks.
+    """
+
+    def regions(batches):
+        for batch in sliced(batches, 1024):
+            node, label = (batch.column(k).to_numpy() for k in (0, 2))
+            sketches = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(node), HASHES)
+            key = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(node), 1))
+            for depth in range(DEPTHS[0]):
+                key = (key ^ (key >> np.uint64(31))) * _M1 + sketches[:, ORDERS[:, depth]].astype(np.uint64) * _M2
+            key = (key ^ (key >> np.uint64(29))).view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(node, TREES)), pa.array(np.repeat(label, TREES))], names=["region", "node", "label"])
+
+    def run(batches):
+        found = []
+        for rows in _groups(batches, 3):
+            node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+            if len(node) > 1 and (label != label[0]).any():
+                briefs = np.frombuffer(b"".join(rows["brief"].to_pylist()), np.uint8).reshape(-1, HASHES)
+                one, two = _spanning(_near(briefs, label))
+                found.append((node[one], node[two]))
+        yield _edges(found)
+
+    named = nodes.join(labels, "node", "left").select("node", "sketch", F.coalesce("label", "node").alias("label"))
+    rows = materialize(named.mapInArrow(regions, "region bigint, node bigint, label bigint"), "regions")
+    sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = materialize(sizes.where("n > 2 AND low <> high").select("region", "n"), "open-regions")
+    rows = materialize(rows.join(sizes, "region"), "open-nodes")
+    rows = rows.join(_briefs(nodes), "node").select("region", "n", "node", "label", "brief")
+    return materialize(_in_blocks(rows, "region", REGION_BLOCK).mapInArrow(run, "a bigint, b bigint").distinct(), "crowd-edges")
+
+
+def _crowd_links(nodes: DataFrame, labels: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame | None:
+    """``a, b``: links between components, by comparing all nodes of each crowd in blocks; None without crowds."""
+    edges = _crowds(nodes, labels)
+    if edges.isEmpty():
+        return None
+    crowds = components(edges).withColumnRenamed("label", "crowd")
+    sizes = materialize(crowds.groupBy("crowd").agg(F.count("*").alias("n")), "crowd-sizes")
+    rows = crowds.join(sizes, "crowd").join(labels, "node", "left").select("crowd", "n", "node", F.coalesce("label", "node").alias("label"))
+    rows = materialize(rows, "crowd-nodes").join(_briefs(nodes), "node").join(texts, "node").select("crowd", "n", "node", "label", "brief", "text")
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for rows in _groups(batches, 3):
+            label = rows["label"].to_numpy()
+            near = _near(np.frombuffer(b"".join(rows["brief"].to_pylist()), np.uint8).reshape(-1, HASHES), label)
+            own = np.flatnonzero(near.any(axis=1))
+            if not len(own):
+                continue
+            rows = rows.take(own)
+            sets = [shingle_hashes(blank_words(unpack.decompress(t)), size) for t in rows["text"].to_pylist()]
+            both = _overlaps(sets)
+            sizes = np.array([len(s) for s in sets])
+            fits = 100 * both >= threshold * (sizes[:, None] + sizes - both)
+            one, two = _spanning(fits & near[np.ix_(own, own)])
+            node = rows["node"].to_numpy()
+            yield _edges([(node[one], node[two])])
+
+    found = materialize(_in_blocks(rows, "crowd", CROWD_BLOCK).mapInArrow(run, "a bigint, b bigint").distinct(), "crowd-links")
+    return _confirmed(found, texts, size, threshold)
+
+
 def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, threshold: int) -> DataFrame | None:
     """``node, label`` of all nodes that have a link, or None without candidates.
 
     Round by round: each node's best candidate; then each node's best of what is still apart and of the
-    other side's hubs; then all that remains; last, nodes that stay apart against whole neighbouring
-    components.  A pair is left out only where its nodes are connected already or their signatures rule a
-    link out.
+    other side's hubs; then all that remains; then nodes that stay apart against whole neighbouring
+    components; last, all nodes that share a region.  A pair is left out only where its nodes are
+    connected already, share no region or their signatures rule a link out.
     """
     pairs = candidates(nodes)
     if pairs.isEmpty():
@@ -427,7 +582,9 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
             links = materialize(links.unionByName(fresh), "confirmed")
             labels = components(links)
             left = materialize(_between(left, labels), "pairs-left")
-    return labels
+    fresh = _crowd_links(nodes, labels, texts, size, threshold)
+    fresh = None if fresh is None else materialize(fresh, "confirmed")
+    return labels if fresh is None or fresh.isEmpty() else components(links.unionByName(fresh))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = THRESHOLD) -> DataFrame:

@@ -124,3 +124,30 @@ def test_the_one_link_out_of_a_crowd_below_the_threshold(spark):
     want = brute(rows, 2)
     assert len({c for _, c in want.values()}) > 100
     assert result(nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=2)) == want
+
+
+def test_links_between_single_nodes_of_a_large_crowd(spark):
+    """Thousands of documents from one pool, nearly all apart, and a few links that no tree need put side by side."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(n, " ".join(edited(rng, base, 7))) for n in range(3000)]
+    rows += [(10_000 + n, " ".join(edited(rng, rows[n][1].split(), 6))) for n in range(0, 3000, 10)]
+    sets = [nd.shingles(blank_words(t.encode()), 2) for _, t in rows]
+    names = {s: i for i, s in enumerate(set().union(*sets))}
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    for start in range(0, len(names), 2048):
+        dense = np.zeros((len(rows), 2048), np.float32)
+        for i, own in enumerate(sets):
+            at = [names[s] - start for s in own if start <= names[s] < start + 2048]
+            dense[i, at] = 1
+        both += dense @ dense.T
+    sizes = np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (sizes[:, None] + sizes - both)
+    low = np.array([i for i, _ in rows])
+    while True:
+        fallen = np.where(linked, low, 1 << 40).min(axis=1)
+        if (fallen == low).all():
+            break
+        low = fallen
+    want = {i: (len(s), int(c)) for (i, _), s, c in zip(rows, sets, low, strict=True)}
+    assert result(nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=2)) == want
