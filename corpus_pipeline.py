@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; documents of which nothing is left go."""
-    found = line_dedup.dedup_lines(docs)
+    """Deletes later repeated runs of lines and long lines; documents of which nothing is left go."""
+    found = line_dedup.dedup_lines(docs, long_words=line_dedup.LONG_WORDS)
     found = found.where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
     changed = F.col("n_removed") > 0
     own = {c: F.col("doc").getField(c) for c in docs.columns}

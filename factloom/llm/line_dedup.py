@@ -4,6 +4,7 @@ Every window of ``RUN`` consecutive lines selects its smallest line hash as fing
 of ``RUN`` lines or more that two places share is found through a common fingerprint.  Positions
 meet by fingerprint and window; neighbouring matches join into maximal runs; and every run that
 stands at an earlier place too (smaller document id, or further up in the same document) is deleted.
+Where ``long_words`` is given, a single line of more words is a run too.
 """
 
 from __future__ import annotations
@@ -17,59 +18,80 @@ from .common import materialize
 
 #: Lines of the shortest run that is deleted, and of the winnowing window.
 RUN = 2
+#: A single line of more words than this is a passage of its own.
+LONG_WORDS = 50
 
 
 def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """``id, text_hash, at, fingerprint, window``: all windows but those of blank lines only."""
+def _is_long(line, words: int):
+    return (F.length(line) > 2 * words) & (F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")) > words)
+
+
+def _windows(docs: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None) -> DataFrame:
+    """``id, text_hash, at, fingerprint, window, n``: all windows but those of blank lines only, and long lines; ``n`` lines each."""
+    least = run if long_words is None else 1
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _lines(F.col(text_col)).alias("lines")
-    ).where(F.size("lines") >= run)
+    ).where(F.size("lines") >= least)
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
     own = lambda i: [F.get("hashes", i + n) for n in range(run)]
     filled = lambda i: reduce(lambda a, b: a | b, [F.trim(F.get("lines", i + n)) != "" for n in range(run)])
     windows = F.transform(
-        F.sequence(F.lit(0), F.size("lines") - run),
+        F.when(F.size("lines") >= run, F.sequence(F.lit(0), F.size("lines") - run)).otherwise(F.array().cast("array<int>")),
         lambda i: F.struct(
             i.alias("at"),
             F.least(*own(i)).alias("fingerprint") if run > 1 else own(i)[0].alias("fingerprint"),
             F.xxhash64(*own(i)).alias("window"),
+            F.lit(run).alias("n"),
             filled(i).alias("filled"),
         ),
     )
+    if long_words is not None:
+        single = F.transform(
+            F.sequence(F.lit(0), F.size("lines") - 1),
+            lambda i: F.struct(
+                i.alias("at"),
+                F.get("hashes", i).alias("fingerprint"),
+                F.xxhash64(F.get("hashes", i)).alias("window"),
+                F.lit(1).alias("n"),
+                _is_long(F.get("lines", i), long_words).alias("filled"),
+            ),
+        )
+        windows = F.concat(windows, F.filter(single, lambda w: w.getField("filled")))
     return rows.select("id", "text_hash", F.inline(windows)).where("filled").drop("filled")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
     """``id, text_hash, gone``: the positions of deleted lines of each document that has some."""
-    windows = _windows(docs, id_col, text_col, run)
+    windows = _windows(docs, id_col, text_col, run, long_words)
     place = F.struct("id", "text_hash", "at")
     firsts = (
-        windows.groupBy("fingerprint", "window")
+        windows.groupBy("fingerprint", "window", "n")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where(F.col("first") < F.col("last"))
-        .select("fingerprint", "window", "first")
+        .select("fingerprint", "window", "n", "first")
     )
     # Written and read again, so that the join deals both sides anew and a hot window's partition can be split.
     firsts = materialize(firsts, "line-runs")
-    later = windows.join(firsts, ["fingerprint", "window"]).where(place > F.col("first"))
+    later = windows.join(firsts, ["fingerprint", "window", "n"]).where(place > F.col("first"))
     return later.groupBy("id", "text_hash").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + (run - 1)))))).alias("gone")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + (F.col("n") - 1)))))).alias("gone")
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
     """All columns of ``docs`` as ``doc``, then ``n_lines``, ``n_removed``, ``n_runs`` and ``kept_text``.
 
     A null text has no lines and stays null, an empty one is one blank line; windows of blank lines only
-    never count; documents shorter than ``run`` lines stay whole; rows with equal id and text are one
+    never count; documents shorter than ``run`` lines stay whole, but for lines of more than ``long_words``
+    words, which are runs of their own where that is given; rows with equal id and text are one
     place, so repeated rows keep what each of them alone would keep; null ids come before all others; an
     empty table gives an empty table.
     """
-    gone = repeated_lines(docs, id_col, text_col, run).withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
+    gone = repeated_lines(docs, id_col, text_col, run, long_words).withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     text = F.col("doc").getField(text_col)
     rows = rows.join(

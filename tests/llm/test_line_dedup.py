@@ -48,3 +48,13 @@ def test_repeated_rows_are_one_place(spark, odd, empty, clashing):
 def test_no_python_in_the_plan(spark, odd, capsys):
     ld.dedup_lines(odd).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_a_long_line_between_lines_of_its_own_is_a_passage(spark):
+    say = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    long, short = say("l", 51), say("s", 50)
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{short}"), (3, long), (4, f"e\n{short}\n{long}\n{long}"), (5, short), (6, "a\nc"), (7, None), (8, "")]
+    want = {1: rows[0][1], 2: f"c\nd\n{short}", 3: "", 4: f"e\n{short}", 5: short, 6: "a\nc", 7: None, 8: ""}
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc.doc_id: r.kept_text for r in ld.dedup_lines(df, long_words=ld.LONG_WORDS).collect()} == want
+    assert {r.doc.doc_id: r.kept_text for r in ld.dedup_lines(df).collect()} == brute(rows)

@@ -79,3 +79,11 @@ def test_stages_take_odd_tables(spark, odd, empty, clashing, stage):
 def test_of_repeated_rows_one_stays(spark, odd):
     got = [r.doc_id for r in cp.dedup_near(spark, odd, SF).collect()]
     assert got.count(8) == 1 and got.count(None) == 1 and 7 not in got and got.count(1) == 1
+
+
+def test_line_dedup_deletes_a_repeated_long_line(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a\n{long}\nb", "en", "s", 1), (2, f"c\n{long}\nd", "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.dedup_lines(spark, df, SF).collect()}
+    assert got == {1: (rows[0][1], 1), 2: ("c\nd", 3)}
