@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers as nu
@@ -365,6 +365,23 @@ def token_jaccard(spark, sf_dir):
     return joined.select(F.col("doc_id").alias("a"), "b", F.round(tx.token_jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
 
 
+@query(
+    "with t as (select doc_id, lead(doc_id) over (partition by source order by doc_id) as b, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) as s from documents), "
+    "p as (select t.doc_id as a, t.b, len(list_intersect(t.s, o.s)) as i, len(list_distinct(list_concat(t.s, o.s))) as u from t join t o on o.doc_id = t.b) "
+    "select a, b, case when u = 0 then null else round(i / u, 6) end as jaccard from p"
+)
+def token_jaccard_next(spark, sf_dir):
+    """Token overlap of every whole text with the next document of its source; only ids go through the window."""
+    docs = tb.table(spark, sf_dir, "documents")
+    tokens = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
+    after = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    pairs = docs.select(F.col("doc_id").alias("a"), after.alias("b")).where("b IS NOT NULL")
+    one = docs.select(F.col("doc_id").alias("a"), tokens.alias("s"))
+    two = docs.select(F.col("doc_id").alias("b"), tokens.alias("t"))
+    joined = pairs.join(one, "a").join(two, "b")
+    return joined.select("a", "b", F.round(tx.token_jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
+
+
 @query(
     "select c_custkey, substring(sha256(concat_ws(chr(31), c_name, coalesce(cast(case when c_nationkey % 3 > 0 then c_nationkey end as varchar), 'None'))), 1, 16) as uid from customer"
 )

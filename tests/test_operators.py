@@ -13,6 +13,7 @@ from factloom.operators import quality as qu
 from factloom.operators import series as se
 from factloom.operators import setops as so
 from factloom.operators import windows as wi
+from factloom.plans import catalog
 from factloom.plans import questions as qs
 from factloom.plans.program import Program, ProgramError
 from factloom.sources import catalog_io as io
@@ -217,3 +218,18 @@ def test_stream_matches_batch(spark, sf_dir, tmp_path):
         assert rows(spark.table("windows"), "start", "event_type", "n") == rows(st.windowed(batch), "start", "event_type", "n")
     finally:
         run.stop()
+
+
+def test_token_jaccard_reads_whole_texts_of_all_documents(spark, tmp_path):
+    head = "x" * 200
+    rows = [(1, f"{head} a b", "en", "s"), (3, f"{head} b c", None, "s"), (4, "q", "de", "t"), (9, None, "fr", "s"), (10, "", "fr", "s"), (12, "Q r", "fr", "t"), (13, "b", "en", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: set((t or "").lower().split()) for i, t, *_ in rows}
+    want = {}
+    for source in {r[3] for r in rows}:
+        own = sorted(r[0] for r in rows if r[3] == source)
+        for a, b in zip(own, own[1:], strict=False):
+            both = words[a] | words[b]
+            want[a, b] = round(len(words[a] & words[b]) / len(both), 6) if both else None
+    assert len(want) == 4
+    assert {(r.a, r.b): r.jaccard for r in catalog.queries()["token_jaccard_next"](spark, str(tmp_path)).collect()} == want
