@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import html
+import itertools
 import json
 import re
 from dataclasses import dataclass, field
@@ -60,8 +61,9 @@ SPACE = re.compile(r"\s+")
 
 #: A host needs this many pages before text that never changes counts as furniture.
 LEAST_PAGES = 8
-#: Cells of the table that aligns two structures; beyond, all slots are kept as optional ones without aligning.
+#: Cells of the table that aligns two structures; larger ones are first cut where a longest common subsequence passes, down to pieces.
 ALIGN_CELLS = 4_000_000
+ALIGN_PIECE = 65_536
 #: Wrappers of this many hosts and bytes go to every task at once; beyond, pages meet their wrapper in a join.
 BROADCAST_HOSTS = 20_000
 BROADCAST_BYTES = 32 << 20
@@ -207,30 +209,57 @@ def _folded(nodes: list[Node]) -> Wrapper:
     return tuple(out)
 
 
-def align(one: Wrapper, two: Wrapper) -> Wrapper:
-    """A common wrapper along a longest common subsequence of slots: texts that differ become open slots, the rest optional."""
-    if one == two:
-        return one
+def _common(one: list[str], two: list[str]) -> list[int]:
+    """Lengths of the longest common subsequences of ``one`` and each prefix of ``two``, bit-parallel."""
+    masks: dict[str, int] = {}
+    for j, path in enumerate(two):
+        masks[path] = masks.get(path, 0) | 1 << j
+    full = (1 << len(two)) - 1
+    row = full
+    for path in one:
+        met = row & masks.get(path, 0)
+        row = ((row + met) | (row - met)) & full
+    return [0, *itertools.accumulate(int(bit == "0") for bit in reversed(f"{row:0{len(two)}b}"))] if two else [0]
+
+
+def _matches(one: list[str], two: list[str], cells: int) -> list[tuple[int, int]]:
+    """Pairs of places along a longest common subsequence; beyond ``cells`` in linear space (Hirschberg)."""
     rows, columns = len(one), len(two)
-    if rows * columns > ALIGN_CELLS:
-        return _folded([Node(p, True, True) for p in dict.fromkeys(n.path for n in one + two)])
+    if rows > 1 and columns > 1 and rows * columns > cells:
+        half = rows // 2
+        before, after = _common(one[:half], two), _common(one[half:][::-1], two[::-1])
+        cut = max(range(columns + 1), key=lambda j: before[j] + after[columns - j])
+        rest = _matches(one[half:], two[cut:], ALIGN_PIECE)
+        return _matches(one[:half], two[:cut], ALIGN_PIECE) + [(i + half, j + cut) for i, j in rest]
     best = [[0] * (columns + 1) for _ in range(rows + 1)]
     for i in range(rows - 1, -1, -1):
         for j in range(columns - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if one[i].path == two[j].path else max(best[i + 1][j], best[i][j + 1])
-    out: list[Node] = []
+            best[i][j] = best[i + 1][j + 1] + 1 if one[i] == two[j] else max(best[i + 1][j], best[i][j + 1])
+    found = []
     i = j = 0
-    while i < rows or j < columns:
-        if i < rows and j < columns and one[i].path == two[j].path:
-            a, b = one[i], two[j]
-            out.append(Node(a.path, a.optional or b.optional, a.repeated or b.repeated, a.text if a.text == b.text else None))
+    while i < rows and j < columns:
+        if one[i] == two[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
-        elif j == columns or (i < rows and best[i + 1][j] >= best[i][j + 1]):
-            out.append(Node(one[i].path, True, one[i].repeated, one[i].text))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append(Node(two[j].path, True, two[j].repeated, two[j].text))
             j += 1
+    return found
+
+
+def align(one: Wrapper, two: Wrapper) -> Wrapper:
+    """A common wrapper along a longest common subsequence of slots: texts that differ become open slots, the rest optional."""
+    if one == two:
+        return one
+    out: list[Node] = []
+    i = j = 0
+    for m, n in [*_matches([n.path for n in one], [n.path for n in two], ALIGN_CELLS), (len(one), len(two))]:
+        out += [Node(x.path, True, x.repeated, x.text) for x in (*one[i:m], *two[j:n])]
+        if m < len(one):
+            a, b = one[m], two[n]
+            out.append(Node(a.path, a.optional or b.optional, a.repeated or b.repeated, a.text if a.text == b.text else None))
+        i, j = m + 1, n + 1
     return _folded(out)
 
 

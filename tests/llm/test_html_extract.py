@@ -94,3 +94,23 @@ def test_random_tag_soup_never_fails():
     for _ in range(300):
         page = "".join(rng.choice(bits) for _ in range(rng.randrange(60)))
         assert isinstance(text_of(page), str)
+
+
+def test_cut_alignment_is_as_long_as_the_table(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(he, "ALIGN_PIECE", 6)
+    for _ in range(200):
+        one, two = ([rng.choice("abcd") for _ in range(rng.randrange(30))] for _ in range(2))
+        whole, cut = he._matches(one, two, 10**9), he._matches(one, two, 6)
+        assert len(whole) == len(cut) == he._common(one, two)[-1]
+        assert all(one[i] == two[j] for i, j in cut) and all(a < c and b < d for (a, b), (c, d) in zip(cut, cut[1:], strict=False))
+
+
+def test_long_structures_keep_their_fixed_texts():
+    names = [f"x{i}" for i in range(2300)]
+    one = tuple(he.Node(n, text="same" if i % 2 else f"a{i}") for i, n in enumerate(names))
+    two = tuple(he.Node(n, text="same" if i % 2 else f"b{i}") for i, n in enumerate(names[:-1]))
+    assert len(one) * len(two) > he.ALIGN_CELLS
+    wrapper = he.align(one, two)
+    assert [n.optional for n in wrapper] == [False] * 2299 + [True] and not any(n.repeated for n in wrapper)
+    assert he.main_slots(wrapper, 99) == set(names[::2])
