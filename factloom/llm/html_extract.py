@@ -4,8 +4,9 @@ A page is a stream of tag and text tokens.  Its structure, with runs of equal si
 folded, is aligned with the structures of other pages of the host: what fails to match
 becomes an optional group, what repeats a repeated group, and texts become slots, so each
 host ends up with one union-free regular expression, its wrapper.  Slots that lie in page
-furniture, by their tags or because their words never change, are no main text; every page
-is then read through its host's wrapper.
+furniture, by their tags or because their words never change, are no main text.  A page is
+read by the slots its host's wrapper names as main text; it isn't matched against the
+expression place by place.
 """
 
 from __future__ import annotations
