@@ -53,11 +53,20 @@ def read_questions(spark: SparkSession, path: str, schema: str, key: str, offset
     return rows if limit is None else rows.limit(limit)
 
 
+#: Most columns of a wide table, whose names the driver holds.
+WIDE_COLUMNS = 2_000
+
+
 def wide_table(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """Wide layout of a long table: one column per header in order of first appearance, repeated headers numbered."""
+    """Wide layout of a long table: one column per header in the order of their names, repeated headers numbered.
+
+    A table with more than ``WIDE_COLUMNS`` of them is refused, as no header may be dropped.
+    """
     named = df.withColumn("_n", F.row_number().over(Window.partitionBy(row, column).orderBy(value)))
     named = named.withColumn("_name", F.when(F.col("_n") == 1, F.col(column).cast("string")).otherwise(F.concat(F.col(column).cast("string"), F.lit("__"), F.col("_n").cast("string"))))
-    names = [r[0] for r in named.select("_name").distinct().orderBy("_name").limit(2_000).collect()]
+    names = [r[0] for r in named.select("_name").distinct().orderBy("_name").limit(WIDE_COLUMNS + 1).collect()]
+    if len(names) > WIDE_COLUMNS:
+        raise ValueError(f"{column} has more than {WIDE_COLUMNS} headers")
     return named.groupBy(row).pivot("_name", names).agg(F.first(value))
 
 

@@ -233,3 +233,12 @@ def test_token_jaccard_reads_whole_texts_of_all_documents(spark, tmp_path):
             want[a, b] = round(len(words[a] & words[b]) / len(both), 6) if both else None
     assert len(want) == 4
     assert {(r.a, r.b): r.jaccard for r in catalog.queries()["token_jaccard_next"](spark, str(tmp_path)).collect()} == want
+
+
+def test_wide_table_refuses_to_drop_headers(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", f"h{n}", n) for n in range(4)], "r string, c string, v int")
+    monkeypatch.setattr(io, "WIDE_COLUMNS", 4)
+    assert len(io.wide_table(rows, "r", "c", "v").columns) == 5
+    monkeypatch.setattr(io, "WIDE_COLUMNS", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        io.wide_table(rows, "r", "c", "v")
