@@ -27,7 +27,7 @@ def _lines(text):
 
 
 def _is_long(line, words: int):
-    return (F.length(line) > 2 * words) & (F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")) > words)
+    return (F.length(line) > 2 * words) & line.rlike(rf"^\s*+(?:\S++\s++){{{words}}}\S")
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None) -> DataFrame:
@@ -51,16 +51,16 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, run: int, long_words:
     )
     if long_words is not None:
         single = F.transform(
-            F.sequence(F.lit(0), F.size("lines") - 1),
+            F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _is_long(F.get("lines", i), long_words)),
             lambda i: F.struct(
                 i.alias("at"),
                 F.get("hashes", i).alias("fingerprint"),
                 F.xxhash64(F.get("hashes", i)).alias("window"),
                 F.lit(1).alias("n"),
-                _is_long(F.get("lines", i), long_words).alias("filled"),
+                F.lit(True).alias("filled"),
             ),
         )
-        windows = F.concat(windows, F.filter(single, lambda w: w.getField("filled")))
+        windows = F.concat(windows, single)
     return rows.select("id", "text_hash", F.inline(windows)).where("filled").drop("filled")
 
 
