@@ -1,10 +1,13 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-Every window of ``RUN`` consecutive lines selects its smallest line hash as fingerprint, so any run
-of ``RUN`` lines or more that two places share is found through a common fingerprint.  Positions
-meet by fingerprint and window; neighbouring matches join into maximal runs; and every run that
-stands at an earlier place too (smaller document id, or further up in the same document) is deleted.
-Where ``long_words`` is given, a single line of more words is a run too.
+In every window of ``RUN`` consecutive lines the smallest line hash, the rightmost of equal ones, is
+selected; the selected positions are a document's fingerprints, and any run of ``RUN`` lines or more that
+two places share has a fingerprint in common.  Positions meet by fingerprint, and those that stand alone
+go.  From a shared fingerprint the match is extended to the left and to the right, over the windows it was
+selected for, by comparing the lines themselves through SHA-256 digests, never through the 64-bit
+hashes; extents of neighbouring fingerprints join into maximal runs.  Every line of an extent that stands
+at an earlier place too (smaller document id, or further up in the same document) is deleted.  Where
+``long_words`` is given, a single line of more words is a fingerprint and a run of its own.
 """
 
 from __future__ import annotations
@@ -26,57 +29,67 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
+def _line_hash(line):
+    return F.xxhash64(line)
+
+
 def _is_long(line, words: int):
     return (F.length(line) > 2 * words) & line.rlike(rf"^\s*+(?:\S++\s++){{{words}}}\S")
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None) -> DataFrame:
-    """``id, text_hash, at, fingerprint, window, n``: all windows but those of blank lines only, and long lines; ``n`` lines each."""
+    """``id, text_hash, lines, hashes, windows``: for every window its first line ``at``, its lines ``n`` and the line ``pick`` that it selects.
+
+    Windows of blank lines only are left out.
+    """
     least = run if long_words is None else 1
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _lines(F.col(text_col)).alias("lines")
     ).where(F.size("lines") >= least)
-    rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    own = lambda i: [F.get("hashes", i + n) for n in range(run)]
+    rows = rows.withColumn("hashes", F.transform("lines", _line_hash))
+    low = lambda i: F.least(*[F.get("hashes", i + n) for n in range(run)]) if run > 1 else F.get("hashes", i)
+    last = lambda i, m: F.coalesce(*[F.when(F.get("hashes", i + n) == m, i + n) for n in reversed(range(run))])
     filled = lambda i: reduce(lambda a, b: a | b, [F.trim(F.get("lines", i + n)) != "" for n in range(run)])
-    windows = F.transform(
-        F.when(F.size("lines") >= run, F.sequence(F.lit(0), F.size("lines") - run)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            i.alias("at"),
-            F.least(*own(i)).alias("fingerprint") if run > 1 else own(i)[0].alias("fingerprint"),
-            F.xxhash64(*own(i)).alias("window"),
-            F.lit(run).alias("n"),
-            filled(i).alias("filled"),
-        ),
-    )
+    starts = F.when(F.size("lines") >= run, F.sequence(F.lit(0), F.size("lines") - run)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(F.filter(starts, filled), lambda i: F.struct(i.alias("at"), F.lit(run).alias("n"), last(i, low(i)).alias("pick")))
     if long_words is not None:
-        single = F.transform(
-            F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _is_long(F.get("lines", i), long_words)),
-            lambda i: F.struct(
-                i.alias("at"),
-                F.get("hashes", i).alias("fingerprint"),
-                F.xxhash64(F.get("hashes", i)).alias("window"),
-                F.lit(1).alias("n"),
-                F.lit(True).alias("filled"),
-            ),
-        )
-        windows = F.concat(windows, single)
-    return rows.select("id", "text_hash", F.inline(windows)).where("filled").drop("filled")
+        long = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _is_long(F.get("lines", i), long_words))
+        windows = F.concat(windows, F.transform(long, lambda i: F.struct(i.alias("at"), F.lit(1).alias("n"), i.alias("pick"))))
+    return rows.withColumn("windows", windows)
+
+
+def _shared_fingerprints(rows: DataFrame) -> DataFrame:
+    """``fingerprint``: the line hashes that windows select at two places or more."""
+    picks = F.array_distinct(F.transform("windows", lambda w: w["pick"]))
+    place = F.struct("id", "text_hash", "pick")
+    found = rows.select("id", "text_hash", "hashes", F.explode(picks).alias("pick"))
+    found = found.select("id", "text_hash", "pick", F.get("hashes", F.col("pick")).alias("fingerprint"))
+    return found.groupBy("fingerprint").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("fingerprint")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
     """``id, text_hash, gone``: the positions of deleted lines of each document that has some."""
-    windows = _windows(docs, id_col, text_col, run, long_words)
+    rows = _windows(docs, id_col, text_col, run, long_words)
+    # What is written and read again deals both sides of a join anew, so that a hot line's partition can be split.
+    shared = materialize(_shared_fingerprints(rows), "line-fingerprints")
+    extent = F.struct(
+        "id",
+        "text_hash",
+        F.col("w.at").alias("at"),
+        F.col("w.n").alias("n"),
+        F.get("hashes", F.col("w.pick")).alias("fingerprint"),
+        F.unhex(F.sha2(F.array_join(F.slice("lines", F.col("w.at") + 1, F.col("w.n")), "\n").cast("binary"), 256)).alias("digest"),
+    )
+    extents = rows.select("id", "text_hash", "lines", "hashes", F.explode("windows").alias("w")).select(extent.alias("e")).select("e.*")
+    extents = materialize(extents.join(shared, "fingerprint", "left_semi"), "line-extents")
     place = F.struct("id", "text_hash", "at")
     firsts = (
-        windows.groupBy("fingerprint", "window", "n")
+        extents.groupBy("digest", "n")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where(F.col("first") < F.col("last"))
-        .select("fingerprint", "window", "n", "first")
+        .select("digest", "n", "first")
     )
-    # Written and read again, so that the join deals both sides anew and a hot window's partition can be split.
-    firsts = materialize(firsts, "line-runs")
-    later = windows.join(firsts, ["fingerprint", "window", "n"]).where(place > F.col("first"))
+    later = extents.join(materialize(firsts, "line-runs"), ["digest", "n"]).where(place > F.col("first"))
     return later.groupBy("id", "text_hash").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + (F.col("n") - 1)))))).alias("gone")
     )
@@ -88,8 +101,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text has no lines and stays null, an empty one is one blank line; windows of blank lines only
     never count; documents shorter than ``run`` lines stay whole, but for lines of more than ``long_words``
     words, which are runs of their own where that is given; rows with equal id and text are one
-    place, so repeated rows keep what each of them alone would keep; null ids come before all others; an
-    empty table gives an empty table.
+    place, so repeated rows keep what each of them alone would keep; null ids come before all others; very
+    long texts are read whole, as arrays of their lines; columns of ``docs`` may have any names, as they
+    travel inside ``doc``; an empty table gives an empty table.
     """
     gone = repeated_lines(docs, id_col, text_col, run, long_words).withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))

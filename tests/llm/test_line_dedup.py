@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import line_dedup as ld
 
@@ -58,3 +59,27 @@ def test_a_long_line_between_lines_of_its_own_is_a_passage(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.doc.doc_id: r.kept_text for r in ld.dedup_lines(df, long_words=ld.LONG_WORDS).collect()} == want
     assert {r.doc.doc_id: r.kept_text for r in ld.dedup_lines(df).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("run", [2, 4])
+def test_windows_select_few_fingerprints_that_shared_runs_have_in_common(spark, run):
+    rng = random.Random(9)
+    shared = [f"shared {i}" for i in range(run)]
+    rows = []
+    for n in range(2):
+        own = [f"{n} {rng.random()}" for _ in range(200)]
+        rows.append((n, "\n".join(own[:100] + shared + own[100:])))
+    windows = ld._windows(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", run, None)
+    picks = [{w.pick for w in r.windows} for r in windows.collect()]
+    assert all(len(p) < 0.8 * (200 + run) for p in picks)
+    assert any(100 <= p < 100 + run for p in picks[0] & picks[1])
+    assert ld._shared_fingerprints(windows).count() >= 1
+
+
+@pytest.mark.parametrize("run", [2, 3])
+def test_colliding_hashes_delete_nothing(spark, monkeypatch, run):
+    monkeypatch.setattr(ld, "_line_hash", lambda line: F.lit(7).cast("bigint") + F.length(line) % 2)
+    rng = random.Random(run)
+    rows = [(n, "\n".join(rng.choice(["a", "b", "c c", "d", "é é"]) for _ in range(rng.randrange(1, 7)))) for n in range(30)]
+    found = ld.dedup_lines(spark.createDataFrame(rows, SCHEMA), run=run).collect()
+    assert {r.doc.doc_id: r.kept_text for r in found} == brute(rows, run)
