@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import blank_words, materialize, sliced
 
+#: Words of a shingle, as the contract of the registered query sets it; the pipeline takes the same.
+SIZE = 2
 THRESHOLD = 80  # per cent
 HASHES = 128
 TREES = 32
@@ -587,26 +589,40 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
     return labels if fresh is None or fresh.isEmpty() else components(links.unionByName(fresh))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` of every row.
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
+    """``id, text_hash, n_shingles, component_id, first`` of every row.
 
-    Rows whose sets of ``size``-word shingles overlap by ``threshold`` per cent of their union are linked;
-    ``component_id`` is the smallest id reachable.  Null, empty and blank texts have empty sets and stay
-    alone; a text shorter than a shingle is one shingle; repeated rows share one component and are kept
-    together; null ids never name a component unless it has no other; an empty table gives an empty table.
+    ``first`` marks the rows that stand for their component: those with its smallest id (null ids come last)
+    and, of these, its smallest hash of the text; rows equal in both are all marked.  Rows with empty sets
+    stand for themselves.
     """
     docs = docs.select(id_col, text_col)
     rows = materialize(features(docs, id_col, text_col, size), "features")
-    first = F.min_by(F.struct("id", "text_hash"), F.struct(F.col("id").isNull(), "id", "text_hash"))
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(first.alias("rep"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "sketch"), "nodes")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("rep"), F.first("sketch").alias("sketch"))
+    nodes = materialize(nodes.select("node", "rep", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "sketch"), "nodes")
     labels = linked_components(docs, nodes, id_col, text_col, size, threshold)
-    named = nodes.select("node", "rep_id")
+    named = nodes.select("node", "rep")
     if labels is not None:
         own = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        low = materialize(own.groupBy("label").agg(F.min("rep_id").alias("low")), "lowest")
-        named = own.join(low, "label").select("node", F.col("low").alias("rep_id"))
+        low = materialize(own.groupBy("label").agg(F.min("rep").alias("low")), "lowest")
+        named = own.join(low, "label").select("node", F.col("low").alias("rep"))
     named = materialize(named, "components")
-    out = rows.select("id", "node", "n_shingles").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("rep_id"))
-    return out.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    out = rows.select("id", "text_hash", "node", "n_shingles").join(named, "node", "left")
+    alone = F.col("node").isNull()
+    first = alone | (F.col("id").eqNullSafe(F.col("rep.id")) & F.col("text_hash").eqNullSafe(F.col("rep.text_hash")))
+    return out.select("id", "text_hash", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("rep.id")).alias("component_id"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
+    """``id, n_shingles, component_id, kept`` of every row.
+
+    Rows whose sets of ``size``-word shingles overlap by ``threshold`` per cent of their union are linked;
+    ``component_id`` is the smallest id reachable.  Null, empty and blank texts have empty sets and stay
+    alone; a text shorter than a shingle is one shingle; very long texts are shingled whole; repeated rows
+    share one component and are kept together; of ties no choice is needed; null ids never name a component
+    unless it has no other; columns besides id and text are left behind, so names cannot clash; an empty
+    table gives an empty table.
+    """
+    rows = near_rows(docs, id_col, text_col, size, threshold)
+    return rows.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

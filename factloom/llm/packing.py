@@ -36,18 +36,19 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE file; special tokens' strings are ordinary text.
+    """Ids of texts by a byte-level BPE file, as its own library gives them without a template's special tokens.
 
-    The ranks engine gives the same ids several times faster where the file's ids follow its merges;
-    other files, and texts on which that engine breaks off, go to the file's own library.
+    The ranks engine gives the same ids several times faster where the file's ids follow its merges; other
+    files, texts that hold the string of an added token (one id there), and texts on which that engine
+    breaks off, go to the file's own library.
     """
 
     def __init__(self, path: str) -> None:
         self.plain = tokenizers.Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         self.fast = None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.added = [token["content"] for token in spec.get("added_tokens") or []]
         vocab, merges = spec["model"]["vocab"], spec["model"].get("merges", [])
         ids = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
         kind = spec.get("pre_tokenizer") or {}
@@ -56,7 +57,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=read_vocabulary(path), special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is not None:
+        if self.fast is not None and not any(token in text for token in self.added):
             try:
                 return self.fast.encode_ordinary(text)
             except BaseException as error:  # the engine's panics are no Exceptions

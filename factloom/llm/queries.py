@@ -35,7 +35,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir), size=2).withColumnRenamed("id", "doc_id")
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,10 +70,12 @@ def test_two_fit_replaces_the_smallest():
 
 def test_packing_against_the_tokenizer(spark, odd, empty, clashing, odd_rows):
     plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
+    special = [(300, "hello <|endoftext|> world", "en", "s", 25), (301, "<|endoftext|>" * 1500, "en", "s", 19500), (302, "a<|endoftext|", "en", "s", 13)]
+    odd = odd.unionByName(spark.createDataFrame(special, odd.schema))
     packed = pk.pack(pk.token_pieces(odd, TOKENIZER, ids=True)).collect()
+    assert [r.ids for r in packed if r.id == 300] == [[31373, 220, 50256, 995, pk.END_ID]]
     by_text = {}
-    for name, text, *_ in odd_rows:
+    for name, text, *_ in odd_rows + special:
         by_text.setdefault(name, []).append([*plain.encode(text or "", add_special_tokens=False).ids, pk.END_ID])
     pieces = {}
     for r in packed:
@@ -96,7 +98,7 @@ def test_packing_against_the_tokenizer(spark, odd, empty, clashing, odd_rows):
             at += r.length
         assert at <= pk.CAPACITY
     assert pk.pack(pk.token_pieces(empty, TOKENIZER)).count() == 0
-    assert pk.pack(pk.token_pieces(clashing, TOKENIZER)).count() == len(packed)
+    assert pk.pack(pk.token_pieces(clashing, TOKENIZER)).count() == sum(r.id is None or r.id < 300 for r in packed)
 
 
 def test_shards_rank_a_hot_length(spark, monkeypatch):
@@ -107,6 +109,13 @@ def test_shards_rank_a_hot_length(spark, monkeypatch):
     assert got.groupby("sequence_id").length.sum().max() <= 4
 
 
+def test_equal_lengths_with_equal_ids_each_get_a_place(spark):
+    rows = spark.range(9).selectExpr("1L id", "0 piece", "0L start", "2L length", "7L ids_crc32")
+    got = pk.pack(rows, 4).collect()
+    assert len(got) == 9 and len({(r.sequence_id, r.offset) for r in got}) == 9 and {r.offset for r in got} == {0, 2}
+    assert len({r.sequence_id for r in got}) == 5
+
+
 def test_engine_panics_fall_back():
     text = " " * 1_500_000 + "x"
     encode = pk.Encoder(TOKENIZER)

@@ -81,6 +81,23 @@ def test_of_repeated_rows_one_stays(spark, odd):
     assert got.count(8) == 1 and got.count(None) == 1 and 7 not in got and got.count(1) == 1
 
 
+def test_rows_with_repeated_or_null_ids_lose_no_text(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    one, two, three = say("a"), say("b"), say("c")
+    rows = [(1, one), (None, one), (None, two), (8, three), (8, one), (8, three), (9, None), (9, None), (None, ""), (9, "!")]
+    df = spark.createDataFrame([(n, t, "en", "s", 1) for n, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id, r.text) for r in cp.dedup_near(spark, df, SF).collect()), key=repr)
+    assert got == sorted([(1, one), (None, two), (8, three), (9, None), (None, ""), (9, "!")], key=repr)
+
+
+def test_near_dedup_drops_what_the_query_links(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    gone = {r.id for r in nd.near_duplicates(docs).where("NOT kept").collect()}
+    kept = {r.doc_id for r in cp.dedup_near(spark, docs, sf_dir).collect()}
+    assert len(gone) > 100 and not gone & kept and len(gone) + len(kept) == docs.count()
+
+
 def test_line_dedup_deletes_a_repeated_long_line(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"a\n{long}\nb", "en", "s", 1), (2, f"c\n{long}\nd", "en", "s", 1)]
