@@ -62,8 +62,8 @@ def _shared_fingerprints(rows: DataFrame) -> DataFrame:
     """``fingerprint``: the line hashes that windows select at two places or more."""
     picks = F.array_distinct(F.transform("windows", lambda w: w["pick"]))
     place = F.struct("id", "text_hash", "pick")
-    found = rows.select("id", "text_hash", "hashes", F.explode(picks).alias("pick"))
-    found = found.select("id", "text_hash", "pick", F.get("hashes", F.col("pick")).alias("fingerprint"))
+    named = F.transform(picks, lambda p: F.struct(p.alias("pick"), F.get("hashes", p).alias("fingerprint")))
+    found = rows.select("id", "text_hash", F.inline(named))  # no array travels along, or every row would copy its document
     return found.groupBy("fingerprint").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("fingerprint")
 
 
@@ -72,15 +72,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _windows(docs, id_col, text_col, run, long_words)
     # What is written and read again deals both sides of a join anew, so that a hot line's partition can be split.
     shared = materialize(_shared_fingerprints(rows), "line-fingerprints")
-    extent = F.struct(
-        "id",
-        "text_hash",
-        F.col("w.at").alias("at"),
-        F.col("w.n").alias("n"),
-        F.get("hashes", F.col("w.pick")).alias("fingerprint"),
-        F.unhex(F.sha2(F.array_join(F.slice("lines", F.col("w.at") + 1, F.col("w.n")), "\n").cast("binary"), 256)).alias("digest"),
-    )
-    extents = rows.select("id", "text_hash", "lines", "hashes", F.explode("windows").alias("w")).select(extent.alias("e")).select("e.*")
+    digest = lambda w: F.unhex(F.sha2(F.array_join(F.slice("lines", w["at"] + 1, w["n"]), "\n").cast("binary"), 256))
+    extent = lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), F.get("hashes", w["pick"]).alias("fingerprint"), digest(w).alias("digest"))
+    extents = rows.select("id", "text_hash", F.inline(F.transform("windows", extent)))
     extents = materialize(extents.join(shared, "fingerprint", "left_semi"), "line-extents")
     place = F.struct("id", "text_hash", "at")
     firsts = (
