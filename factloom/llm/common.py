@@ -40,20 +40,52 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a fresh one only where the session names none."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local master, which has no other machines, gets a temporary one where the session names none.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Folders of the tables that ``materialize`` wrote and ``release`` has not removed.
+_WRITTEN: dict[str, None] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = None
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def written() -> set[str]:
+    """The folders that intermediate tables take up now."""
+    return set(_WRITTEN)
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Remove intermediate tables; only those that no result still to be computed reads."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _WRITTEN.pop(path, None)
+
+
+def settled(df: DataFrame, name: str, before: set[str]) -> DataFrame:
+    """``materialize``, then remove all that was written since ``before`` was taken but the result."""
+    out = materialize(df, name)
+    release(df.sparkSession, *(written() - before - {out._written_path}))
+    return out
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -63,6 +95,11 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def field_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
+    """A text column of the struct that is the batch's first column, as bytes."""
+    return batch.column(0).field(name).cast(pa.binary()).to_pylist()
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``fn`` to slices of a few rows, one Arrow batch in and one out."""
 

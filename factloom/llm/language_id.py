@@ -2,8 +2,9 @@
 
 Texts become normalised TF-IDF vectors of hashed character 1- to 3-grams; every
 language has a few centroids, clustered from a bounded sample of its labelled texts;
-the nearest centroid by cosine names the language, and a text too far from it for its
-length is rejected.  Document frequencies cover all labelled texts.
+the nearest centroid by cosine names the language, and a text farther from it than nearly
+all training texts with as many different grams is rejected.  Document frequencies cover
+all labelled texts.
 """
 
 from __future__ import annotations
@@ -17,19 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, sliced
+from .common import extended, field_bytes, sliced
 
 DIMENSIONS = 8192
 GRAMS = 3
 #: Labelled texts per language that the centroids are fitted on (the documented bound of the fit).
-SAMPLE = 300
+SAMPLE = 600
 CLUSTERS = 4
 ROUNDS = 12
-#: A text is rejected below this share of the smallest cosine that training texts of its length reach.
-REJECT = 0.2
+#: A text is rejected below the cosine that this share of the training texts of its band misses, less a margin;
+#: their cosines are taken to centroids of the other half.
+MISSES = 0.004
+MARGIN = 0.98
 #: No text is accepted below this cosine, however short.
 FLOOR = 0.02
-BAND_LEAST = 10
+#: Half octaves of the number of different grams, and the training texts that a band needs for a bound of its own.
+BANDS = 2 * 14
+BAND_LEAST = 20
 UNKNOWN = "und"
 CHUNK = 1 << 20
 
@@ -72,7 +77,7 @@ def gram_counts(text: bytes) -> tuple[np.ndarray, int]:
 
 @dataclass
 class Model:
-    """Centroids (rows), their languages, inverse document frequencies and the least cosine by length band."""
+    """Centroids (rows), their languages, inverse document frequencies and the least cosine by band."""
 
     labels: list[str]
     centroids: np.ndarray
@@ -88,21 +93,42 @@ class Model:
             return [(UNKNOWN, 0.0, True)] * len(counts)
         cosines = self.vectors(counts) @ self.centroids.T
         best = cosines.argmax(axis=1)
+        bands = band(np.count_nonzero(counts, axis=1))
         out = []
         for row, n in enumerate(letters):
             if not n:
                 out.append((UNKNOWN, 0.0, True))
                 continue
             score = float(min(1.0, max(0.0, cosines[row, best[row]])))
-            out.append((self.labels[best[row]], score, score < max(FLOOR, self.least[band(n)])))
+            out.append((self.labels[best[row]], score, score < max(FLOOR, self.least[bands[row]])))
         return out
 
 
-BANDS = 24
+def band(grams: np.ndarray) -> np.ndarray:
+    """The band of each number of different grams; texts that only repeat themselves fall among short ones."""
+    return np.minimum(BANDS - 1, 2 * np.log2(np.maximum(grams, 1))).astype(int)
 
 
-def band(letters: int) -> int:
-    return min(BANDS - 1, int(letters).bit_length())
+def unseen_cosines(vectors: np.ndarray) -> np.ndarray:
+    """Each text's cosine to centroids that were fitted without it, on the other half of the sample."""
+    half = np.arange(len(vectors)) % 2 == 0
+    out = np.ones(len(vectors), np.float32)
+    if len(vectors) > 1:
+        for own in (half, ~half):
+            out[own] = (vectors[own] @ clustered(vectors[~own], CLUSTERS).T).max(axis=1)
+    return out
+
+
+def least_cosines(bands: np.ndarray, cosines: np.ndarray) -> list[float]:
+    """The least accepted cosine by band, from training texts of the band, of the next ones too where it has few, or as in the band below."""
+    out: list[float] = []
+    for number in range(BANDS):
+        near = next((own for width in (0, 1, 2) if len(own := cosines[np.abs(bands - number) <= width]) >= BAND_LEAST), None)
+        if near is None:
+            out.append(out[-1] if out else 0.0)
+        else:
+            out.append(MARGIN * float(np.sort(near)[int(MISSES * len(near))]))
+    return out
 
 
 def normalised(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -162,7 +188,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     def vectors(batches):
         for batch in sliced(batches):
             found = [gram_counts(text) for text in batch.column(1).to_pylist()]
-            packed = [c.astype("<i4").tobytes() for c, _ in found]
+            packed = [np.stack([(at := np.flatnonzero(c)), c[at]]).astype("<i4").tobytes() for c, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(packed, pa.binary()), pa.array([n for _, n in found], pa.int64())],
                 names=["label", "draw", "counts", "letters"],
@@ -170,37 +196,39 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     drawn = rows.where(F.col("draw") < F.element_at(limits, F.col("label")))
     drawn = drawn.mapInArrow(vectors, "label string, draw bigint, counts binary, letters bigint").collect()
-    labels, centroids, cosines = [], [], []
+    labels, centroids, bands, cosines = [], [], [], []
     for label in sorted(sizes):
-        own = sorted((r.draw, bytes(r.counts), r.letters) for r in drawn if r.label == label and r.letters)[:sample]
+        own = sorted((r.draw, bytes(r.counts)) for r in drawn if r.label == label and r.letters)[:sample]
         if not own:
             continue
-        x = normalised(np.stack([np.frombuffer(c, "<i4") for _, c, _ in own]), idf)
+        counts = np.zeros((len(own), DIMENSIONS), np.int32)
+        for row, (_, packed) in enumerate(own):
+            at, times = np.frombuffer(packed, "<i4").reshape(2, -1)
+            counts[row, at] = times
+        x = normalised(counts, idf)
         found = clustered(x, CLUSTERS)
         labels += [label] * len(found)
         centroids.append(found)
-        cosines += zip((x @ found.T).max(axis=1).tolist(), (n for _, _, n in own), strict=True)
-    least, last = [], 0.0
-    for b in range(BANDS):
-        own = [c for c, n in cosines if band(n) == b]
-        last = REJECT * min(own) if len(own) >= BAND_LEAST else last
-        least.append(last)
-    stacked = np.concatenate(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32)
-    return Model(labels, stacked, idf, least)
+        bands.append(band(np.count_nonzero(counts, axis=1)))
+        cosines.append(unseen_cosines(x))
+    if not labels:
+        return Model([], np.zeros((0, DIMENSIONS), np.float32), idf, [0.0] * BANDS)
+    return Model(labels, np.concatenate(centroids), idf, least_cosines(np.concatenate(bands), np.concatenate(cosines)))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` as the struct ``doc``, then ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``.
 
-    Null, empty and letterless texts are ``und`` with score 0 and rejected; equal texts give equal
-    results; ties go to the first label in order; an empty table gives an empty table.
+    Null, empty and letterless texts are ``und`` with score 0 and rejected; very long texts are read whole,
+    in chunks; equal texts give equal results; of equal cosines the first label in order wins; columns of
+    ``docs`` may have any names, as they travel inside ``doc``; an empty table gives an empty table.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text_col].cast("binary").alias("body"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in sliced(batches, 64):
-            found = [gram_counts(text or b"") for text in batch.column(1).to_pylist()]
+            found = [gram_counts(text or b"") for text in field_bytes(batch, text_col)]
             out = held.value.predict(np.stack([c for c, _ in found]), np.array([n for _, n in found]))
             made = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc", "lang_pred", "score", "rejected"])

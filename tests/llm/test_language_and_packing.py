@@ -34,9 +34,26 @@ def test_language_id_learns_only_from_training_rows(spark):
     assert sorted(set(li.train(li.training_rows(renamed)).labels)) == ["de", "fr"]
 
 
+@pytest.mark.parametrize("unseen", ["de", "es", "fr"])
+def test_language_id_rejects_a_language_left_out_of_training(spark, unseen):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    known = docs.where(F.col("lang") != unseen)
+    found = li.identify(docs, li.train(li.training_rows(known)))
+    share = {r.own: r.share for r in found.groupBy((F.col("doc.lang") == unseen).alias("own")).agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+    assert share[True] >= 0.8 and share[False] <= 0.01
+
+
+def test_language_id_ties_go_to_the_first_label(spark):
+    rows = [(n, "same words here", "xx" if n % 2 else "aa") for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.lang_pred for r in li.identify(docs, li.train(li.training_rows(docs))).collect()} == {"aa"}
+
+
 def test_language_id_rejects_the_far_and_the_letterless(spark, odd, empty, clashing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = li.train(li.training_rows(docs), sample=100)
+    finnish = spark.createDataFrame([(1, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.")], "doc_id bigint, text string")
+    assert li.identify(finnish, model).first().rejected
     alien = spark.createDataFrame([(1, "Это совсем другой язык, и его тут нет. " * 9)], "doc_id bigint, text string")
     assert li.identify(alien, model).first().rejected
     got = {r.doc.doc_id: r for r in li.identify(odd, model).collect()}
