@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import pytest
+
 import public_tokenizers
 
 from factloom.llm import decontamination as dc
@@ -97,8 +99,9 @@ def test_decontamination_matches_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id bigint, text string")
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = {n: naive_hits(t, items) for n, t in enumerate(texts)}
-    for size in (dc.AUTOMATON_BYTES, 200):  # one automaton, then several passes
+    for size, held in ((dc.AUTOMATON_BYTES, dc.HELD_BYTES), (200, dc.HELD_BYTES), (200, 100)):  # one automaton, then several in turn
         monkeypatch.setattr(dc, "AUTOMATON_BYTES", size)
+        monkeypatch.setattr(dc, "HELD_BYTES", held)
         for r in dc.find_contamination(spark, docs, bench).collect():
             assert (r.n_words, r.n_hit, set(r["items"])) == want[r.doc.doc_id]
             for hit, span in zip(r.hits, r.spans, strict=True):
@@ -106,6 +109,26 @@ def test_decontamination_matches_brute_force(spark, monkeypatch):
                 assert len(words) == hit.end - hit.start
 
 
+@pytest.mark.parametrize("width", [1, 2, 4, 5, 13])
+def test_scanner_matches_every_window(width):
+    rng = random.Random(width)
+    for _ in range(150):
+        words = rng.choice([b"a", b"a b", b"a b c d"]).split()
+        say = lambda n: [rng.choice(words) for _ in range(n)]
+        items = [(str(n), say(rng.randrange(3 * width))) for n in range(4)]
+        text = say(rng.randrange(8 * width)) + rng.choice(items)[1] + [b"x"] + say(rng.randrange(2 * width))
+        hit, names = set(), set()
+        for name, own in items:
+            size = min(width, len(own))
+            windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if own else set()
+            for at in range(len(text) - size + 1):
+                if tuple(text[at : at + size]) in windows:
+                    hit |= set(range(at, at + size))
+                    names.add(name)
+        spans, found = dc.WindowScanner([(n, b" ".join(w)) for n, w in items], width).scan(text)
+        assert {i for a, b in spans for i in range(a, b)} == hit and found == names
+
+
 def test_media_round_trip(spark, odd_rows):
     rng = random.Random(4)
     rows = [(n, rng.randbytes(n).decode("latin-1")) for n in (0, 1, 287, 288, 575, 576, 577, 40_000)] + [(-1, None)]
