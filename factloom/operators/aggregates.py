@@ -25,6 +25,18 @@ def aggregate(df: DataFrame, function: str, by: list[str] | None = None) -> Data
     )
 
 
+def aggregate_all(df: DataFrame, functions: dict[str, str], by: list[str]) -> DataFrame:
+    """Several aggregates of ``value`` per group in one pass, each under its own name; mixed dimensions give nulls."""
+    found = [FUNCTIONS[f]("value").cast("double").alias(name) for name, f in functions.items()]
+    out = df.groupBy(*by).agg(*found, (F.min("dimension") == F.max("dimension")).alias("_one"))
+    return out.select(*by, *[F.when(F.col("_one"), F.col(name)).alias(name) for name in functions])
+
+
+def ends_by_entity(df: DataFrame) -> DataFrame:
+    """``entity, first, last``: the values of the first and the last period in one pass."""
+    return _ends(df).select("entity", "first", "last")
+
+
 def sum_by_scope(df: DataFrame, axis: str) -> DataFrame:
     """Sum over components to ``entity``, ``period`` or ``entity_period``."""
     keys = ["entity", "period"] if axis == "entity_period" else [axis]

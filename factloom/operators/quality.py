@@ -104,6 +104,9 @@ def collision_groups(df: DataFrame, keys: list[str], nullable_key: str, value: s
     """Groups with more than one value and their class; a null period joins the empty one instead of splitting."""
     key = F.coalesce(F.col(nullable_key).cast("string"), F.lit(""))
     rows = df.where(F.col(value).isNotNull()).withColumn("period_key", key)
+    # Distinct counts multiply the rows, so only keys with different values reach them.
+    several = rows.groupBy(*keys, "period_key").agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low < high")
+    rows = rows.join(several.select(*keys, "period_key"), [*keys, "period_key"], "left_semi")
     grouped = rows.groupBy(*keys, "period_key").agg(
         F.count("*").alias("n_obs"),
         F.count_distinct(value).alias("n_values"),
@@ -129,21 +132,45 @@ def collided(df: DataFrame, groups: DataFrame, keys: list[str], nullable_key: st
     return df.withColumn("period_key", key).join(groups.select(*keys, "period_key", "collision_class"), [*keys, "period_key"])
 
 
-def identity_check(df: DataFrame, by: list[str], code: str, value: str, total: str, parts: list[str], optional: list[str] = (), tolerance: float = 2.0) -> DataFrame:
-    """An accounting identity ``total = sum of parts`` per group; a missing optional part counts as 0, any other makes it untestable."""
-    first = lambda c: F.max(F.when(F.col(code) == c, F.col(value)))
-    wide = df.groupBy(*by).agg(*[first(c).alias(c) for c in [total, *parts, *optional]])
-    terms = [F.col(p) for p in parts] + [F.coalesce(p, F.lit(0.0)) for p in optional]
-    gap = F.col(total) - sum(terms[1:], terms[0])
-    status = F.when(gap.isNull(), "UNTESTABLE").when(F.abs(gap) <= tolerance, "OK").otherwise("BROKEN")
-    return wide.select(*by, gap.alias("gap"), status.alias("status"))
+#: Fixed value: the gap that rounding may leave between a total and its parts.
+IDENTITY_TOLERANCE = 2.0
+
+
+@dataclass(frozen=True)
+class Identity:
+    """``total = sum of parts``; a missing optional part counts as 0, any other makes the identity untestable."""
+
+    name: str
+    total: str
+    parts: tuple[str, ...]
+    optional: tuple[str, ...] = ()
+
+
+def reconcile(df: DataFrame, by: list[str], code: str, value: str, identities: list[Identity], tolerance: float = IDENTITY_TOLERANCE) -> DataFrame:
+    """``by.., identity, gap, status`` of every identity in every group, all from one pivot."""
+    codes = sorted({c for i in identities for c in (i.total, *i.parts, *i.optional)})
+    wide = df.groupBy(*by).agg(*[F.max(F.when(F.col(code) == c, F.col(value))).alias(f"_{n}") for n, c in enumerate(codes)])
+    at = {c: F.col(f"_{n}") for n, c in enumerate(codes)}
+    rows = []
+    for i in identities:
+        terms = [at[p] for p in i.parts] + [F.coalesce(at[p], F.lit(0.0)) for p in i.optional]
+        gap = at[i.total] - sum(terms[1:], terms[0])
+        status = F.when(gap.isNull(), "UNTESTABLE").when(F.abs(gap) <= tolerance, "OK").otherwise("BROKEN")
+        rows.append(F.struct(F.lit(i.name).alias("identity"), gap.alias("gap"), status.alias("status")))
+    return wide.select(*by, F.inline(F.array(*rows)))
+
+
+def identity_check(df: DataFrame, by: list[str], code: str, value: str, total: str, parts: list[str], optional: list[str] = (), tolerance: float = IDENTITY_TOLERANCE) -> DataFrame:
+    """One identity per group."""
+    found = reconcile(df, by, code, value, [Identity("", total, tuple(parts), tuple(optional))], tolerance)
+    return found.drop("identity")
 
 
 def column_profile(df: DataFrame, by: list[str], text: str) -> DataFrame:
     """Upper-middle number of digits, the share of cells with two at most, and the share of numeric cells."""
     digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
     rows = df.withColumn("digits", digits)
-    middle = F.element_at(F.array_sort(F.collect_list("digits")), (F.count("*") / 2).cast("int") + 1)
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY digits DESC)").cast("int")  # counts per length, not all rows
     return rows.groupBy(*by).agg(
         middle.alias("median_digits"),
         F.avg((F.col("digits") <= 2).cast("double")).alias("share_short"),

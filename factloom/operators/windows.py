@@ -54,14 +54,30 @@ def k_mask(df: DataFrame, k: int, top: bool = True, keys: tuple[str, ...] = ("en
     return df.join(F.broadcast(chosen), keys, "left").select(*keys, "value", F.coalesce("chosen", F.lit(False)).alias("flag"))
 
 
+#: Ranges of values that are ranked apart where all members get a place.
+RANGES = 64
+
+
 def rank_members(df: DataFrame, member: str, limit: int | None = None, descending: bool = True) -> DataFrame:
-    """Members by value, ties by the smaller member; ``place`` counts from 1."""
+    """Members by value, ties by the smaller member; ``place`` counts from 1.
+
+    With a limit the members are an ordered take.  Without one they are dealt by ranges of values, ranked
+    within their range, and moved on by the number of members in the ranges before.
+    """
     value = F.desc("value") if descending else F.asc("value")
-    rows = df.where("value IS NOT NULL").orderBy(value, F.asc(member))
+    rows = df.where("value IS NOT NULL")
     if limit is not None:
-        rows = rows.limit(limit)
-    order = Window.orderBy(value, F.asc(member))
-    return rows.select(member, "value", F.row_number().over(order).alias("place"))
+        order = Window.orderBy(value, F.asc(member))
+        return rows.orderBy(value, F.asc(member)).limit(limit).select(member, "value", F.row_number().over(order).alias("place"))
+    cuts = rows.agg(F.percentile_approx("value", [n / RANGES for n in range(1, RANGES)]).alias("cuts"))
+    own = F.size(F.filter("cuts", lambda c: c <= F.col("value")))
+    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", -own if descending else own)
+    within = Window.partitionBy("_range").orderBy(value, F.asc(member))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))  # one row a range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    placed = dealt.withColumn("_at", F.row_number().over(within)).join(F.broadcast(bases), "_range")
+    return placed.select(member, "value", (F.col("_at") + F.col("_base")).cast("int").alias("place"))
 
 
 def argmax_key(df: DataFrame, key: str) -> DataFrame:
@@ -87,8 +103,8 @@ def argmin_period_flat(df: DataFrame) -> DataFrame:
 
 
 def select_at_key(df: DataFrame, key: DataFrame, on: str) -> DataFrame:
-    """Rows of a series at a key found elsewhere (one row)."""
-    return df.join(F.broadcast(key.select(F.col("key").alias(on))), on)
+    """Rows of a series at a key found elsewhere; the planner sees by size whether to broadcast it."""
+    return df.join(key.select(F.col("key").alias(on)), on)
 
 
 def select_at_arg(ranked: DataFrame, other: DataFrame, member: str, descending: bool = True) -> DataFrame:
@@ -134,12 +150,26 @@ def winner_and_margin(df: DataFrame, by: list[str], score: str, tie: str) -> Dat
     return rows.where("place = 1").withColumns({"margin": F.col(score) - F.col("second"), "tie": F.coalesce(F.col(score) == F.col("second"), F.lit(False))}).drop("place")
 
 
+#: Places whose running totals one task adds up.
+PLACE_BLOCK = 4096
+
+
 def round_robin(df: DataFrame, by: str, score: str, uid: str, quota: int) -> DataFrame:
-    """Rows within each group's quota first, interleaved by their rank; then the rest."""
+    """Rows within each group's quota first, interleaved by their rank; then the rest, interleaved too.
+
+    Both parts run by place, then score, so a row's slot is its rank among its place's rows, of which each
+    group has one, after the rows of all places before; their totals are added up in blocks of places.
+    """
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), F.asc(uid)))
     rows = df.withColumn("place", place)
-    order = Window.orderBy(F.desc(F.col("place") <= quota), F.asc("place"), F.desc(score), F.asc(uid))
-    return rows.withColumn("slot", F.row_number().over(order))
+    sizes = rows.groupBy("place").agg(F.count("*").alias("n")).withColumn("_block", F.floor(F.col("place") / PLACE_BLOCK))
+    blocks = sizes.groupBy("_block").agg(F.sum("n").alias("total"))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("total").over(earlier().orderBy("_block")), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("n").over(earlier("_block").orderBy("place")), F.lit(0))
+    bases = sizes.withColumn("_within", within).join(blocks, "_block").select("place", (F.col("_within") + F.col("_before")).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("place").orderBy(F.desc(score), F.asc(uid)))
+    return rows.withColumn("_at", own).join(bases, "place").withColumn("slot", F.col("_at") + F.col("_base")).drop("_at", "_base")
 
 
 def first_per_key_with_quota(df: DataFrame, key: list[str], group: list[str], score: str, uid: str, quota: int) -> DataFrame:

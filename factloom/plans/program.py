@@ -135,7 +135,7 @@ def _arg(largest: bool):
 def _select_at_key(inputs: list[DataFrame], _: dict) -> DataFrame:
     values, key = inputs
     on = [k for k in keys_of(key) if k in keys_of(values)]
-    return values.join(F.broadcast(key.select(*on)) if len(keys_of(key)) == 1 else key.select(*on), on)
+    return values.join(key.select(*on), on)
 
 
 def _true_key(function):

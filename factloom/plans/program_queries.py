@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,13 +261,160 @@ program(
     margin = facts(metric="margin", entities=["NATION_2"])
     yearly = sum_by_scope(margin, axis="period")
     positive = compare(yearly, operator="gt", value=0)
-    gross = facts(metric="gross", entities=["NATION_2"])
-    total = sum_by_scope(gross, axis="period")
-    kept = filter(total, positive)
+    rate = formula(text="returned / gross * 100", entities=["NATION_2"])
+    rates = sum_by_scope(rate, axis="period")
+    kept = filter(rates, positive)
     best = argmin_key(kept)
-    result = select_at_key(yearly, best)
+    share = formula(text="revenue / gross * 100", entities=["NATION_2"])
+    shares = sum_by_scope(share, axis="period")
+    result = select_at_key(shares, best)
+    """,
+    W + " select period, round(revenue / gross * 100, 4) as value from w where entity = 'NATION_2' and margin > 0 order by returned / gross, period limit 1",
+)
+program(
+    "positive_conditioned_rank_select",
+    """
+    margin = facts(metric="margin")
+    latest = latest_by_entity(margin)
+    zero = literal(latest, value=0)
+    positive = compare(latest, zero, operator="gt")
+    rate = formula(text="returned / gross * 100")
+    rates = latest_by_entity(rate)
+    kept = filter(rates, positive)
+    best = argmax_key(kept)
+    share = formula(text="revenue / gross * 100")
+    shares = latest_by_entity(share)
+    result = select_at_key(shares, best)
     """,
-    W + " select period, round(margin, 4) as value from w where entity = 'NATION_2' and margin > 0 order by gross, period limit 1",
+    W + ", e as (select entity, arg_max(margin, period) as m, arg_max(returned / gross, period) as r, arg_max(revenue / gross, period) as s from w group by entity) "
+    "select entity, round(s * 100, 4) as value from e where m > 0 order by r desc, entity desc limit 1",
+)
+program(
+    "inventory_days_filtered_margin_average",
+    """
+    stock = facts(metric="returned")
+    mean = rolling_average_by_entity(stock)
+    size = absolute(mean)
+    year = literal(size, value=365)
+    scaled = multiply(size, year)
+    cost = facts(metric="gross")
+    days = divide(scaled, cost)
+    first = earliest_by_entity(days)
+    level = median(first)
+    slow = compare(first, level, operator="gt")
+    margin = formula(text="margin / gross * 100")
+    later = drop_first_by_entity(margin)
+    change = change_by_entity(later)
+    kept = filter(change, slow)
+    result = average(kept)
+    """,
+    W + ", r as (select *, abs((returned + lag(returned) over (partition by entity order by period)) / 2) * 365 / gross as days, margin / gross * 100 as m, "
+    "row_number() over (partition by entity order by period) as at_ from w), f as (select entity, arg_min(days, period) as d from r where days is not null group by entity), "
+    "c as (select entity, arg_max(m, period) - arg_min(m, period) as change, count(*) as n from r where at_ > 1 group by entity) "
+    "select round(avg(change), 4) as value from c join f using (entity) where n > 1 and d > (select median(d) from f)",
+)
+program(
+    "current_rank_select",
+    """
+    rate = formula(text="returned / gross * 100")
+    now = latest_by_entity(rate)
+    least = argmin_key(now)
+    share = formula(text="margin / revenue * 100")
+    shares = latest_by_entity(share)
+    result = select_at_key(shares, least)
+    """,
+    W + ", e as (select entity, arg_max(returned / gross, period) as r, arg_max(margin / revenue, period) as s from w group by entity) "
+    "select entity, round(s * 100, 4) as value from e order by r, entity limit 1",
+)
+program(
+    "formula_output_direct_rank",
+    """
+    revenue = facts(metric="revenue", entities=["NATION_9"])
+    yearly = sum_by_scope(revenue, axis="period")
+    best = argmax_key(yearly)
+    rate = formula(text="(gross - returned) / gross * 100", entities=["NATION_9"])
+    result = select_at_key(rate, best)
+    """,
+    W + " select entity, period, round((gross - returned) / gross * 100, 4) as value from w where entity = 'NATION_9' order by revenue desc, period desc limit 1",
+)
+program(
+    "filtered_period_rank",
+    """
+    revenue = facts(metric="revenue", entities=["NATION_5"])
+    rate = formula(text="returned / gross * 100", entities=["NATION_5"])
+    limit = literal(rate, value=20)
+    above = compare(rate, limit, operator="gt")
+    kept = filter(revenue, above)
+    yearly = sum_by_scope(kept, axis="period")
+    least = argmin_key(yearly)
+    share = formula(text="margin / gross * 100", entities=["NATION_5"])
+    result = select_at_key(share, least)
+    """,
+    W + " select entity, period, round(margin / gross * 100, 4) as value from w where entity = 'NATION_5' and returned / gross * 100 > 20 order by revenue, period limit 1",
+)
+program(
+    "median_filtered_share",
+    """
+    rate = formula(text="returned / gross * 100")
+    revenue = facts(metric="revenue")
+    orders = facts(metric="orders")
+    size = divide(revenue, orders)
+    level = median(size)
+    large = compare(size, level, operator="gt")
+    part = filter(revenue, large)
+    high = compare(rate, operator="gt", value=20)
+    both = filter(part, high)
+    above = sum(both)
+    total = sum(revenue)
+    share = divide(above, total)
+    result = to_percent(share)
+    """,
+    W + ", m as (select median(revenue / orders) as level from w) select round(sum(revenue) filter (where revenue / orders > level and returned / gross * 100 > 20) / sum(revenue) * 100, 4) as value from w, m",
+)
+program(
+    "simple",
+    """
+    revenue = facts(metric="revenue", entities=["NATION_1", "NATION_4"])
+    result = average(revenue)
+    """,
+    W + " select round(avg(revenue), 4) as value from w where entity in ('NATION_1', 'NATION_4')",
+)
+for _word, _call, _sql in (
+    ("sum", "sum(a)", "sum(revenue)"),
+    ("average", "average(a)", "avg(revenue)"),
+    ("minimum", "minimum(a)", "min(revenue)"),
+    ("maximum", "maximum(a)", "max(revenue)"),
+):
+    program(
+        f"lexical_direct_{_word}",
+        f"""
+        a = facts(metric="revenue", entities=["NATION_7"])
+        result = {_call}
+        """,
+        W + f" select round({_sql}, 4) as value from w where entity = 'NATION_7'",
+    )
+program(
+    "lexical_direct_growth",
+    """
+    a = facts(metric="revenue", entities=["NATION_7", "NATION_8"])
+    first = earliest_by_entity(a)
+    last = latest_by_entity(a)
+    old = sum(first)
+    new = sum(last)
+    result = growth(old, new)
+    """,
+    ENDS + " select round((sum(r1) - sum(r0)) / abs(sum(r0)) * 100, 4) as value from e where entity in ('NATION_7', 'NATION_8')",
+)
+program(
+    "lexical_direct_subtract",
+    """
+    a = facts(metric="revenue", entities=["NATION_7"])
+    b = facts(metric="revenue", entities=["NATION_8"])
+    one = sum(a)
+    two = sum(b)
+    result = subtract(one, two)
+    """,
+    W + " select round(sum(case entity when 'NATION_7' then revenue end) - sum(case entity when 'NATION_8' then revenue end), 4) as value from w",
 )
 program(
     "direct_rank_select",
@@ -304,11 +453,11 @@ program(
     """
     margin = facts(metric="margin")
     yearly = sum_by_scope(margin, axis="period")
-    positive = is_nonzero(yearly)
+    positive = compare(yearly, operator="gt", value=0)
     last = last_true_key(positive)
     result = key_to_number(last)
     """,
-    W + " select cast(max(period) as double) as value from w",
+    W + ", y as (select period, sum(margin) as v from w group by period) select cast(max(period) as double) as value from y where v > 0",
 )
 
 
@@ -337,19 +486,38 @@ def formula_registry_pivot(spark, sf_dir):
     return out.withColumn("value", F.round("value", 8))
 
 
+#: Columns that play the statements' metrics, in turn: every leaf of the reviewed formulas gets one of them.
+ROLES = ["revenue", "gross", "returned", "margin", "orders"]
+LEAVES = sorted({leaf for f in fo.registry().values() for leaf in f.leaves})
+PLAYS = {leaf: ROLES[n % len(ROLES)] for n, leaf in enumerate(LEAVES)}
+
+
+def _formula_sql(node: ast.expr) -> str:
+    """A formula's text as SQL over the columns that play its leaves; a zero denominator gives null."""
+    if isinstance(node, ast.Constant):
+        return f"{float(node.value)!r}"
+    if isinstance(node, ast.Name):
+        return PLAYS[node.id]
+    if isinstance(node, ast.UnaryOp):
+        return f"(-{_formula_sql(node.operand)})"
+    if isinstance(node, ast.Call):
+        inner = _formula_sql(node.args[0])
+        before = f"(lag({inner}) over (partition by entity order by period))"
+        return {"abs": f"abs({inner})", "rolling_average": f"(({inner} + {before}) / 2)", "rolling_growth": f"(({inner} - {before}) / nullif(abs({before}), 0))"}[node.func.id]
+    left, right = _formula_sql(node.left), _formula_sql(node.right)
+    return f"({left} / nullif({right}, 0))" if isinstance(node.op, ast.Div) else f"({left} {fo.OPERATORS[type(node.op)]} {right})"
+
+
 @query(
-    W + " select entity, period, round(returned / revenue, 6) as debt_to_equity, round((gross - orders) / returned, 6) as quick_ratio, round(margin / revenue * 100, 6) as net_margin, "
-    "round(gross - returned, 2) as working_capital from w"
+    W + ", v as ("
+    + " union all ".join(f"select entity, period, '{n}' as formula, cast({_formula_sql(f.tree)} as double) as value from w" for n, f in fo.registry().items())
+    + ") select entity, period, formula, round(value, 6) as value, case when value is null then 'ABSTAIN' else 'OK' end as status from v"
 )
 def formula_reviewed(spark, sf_dir):
-    """Reviewed formulas by name over columns that play the statement's metrics."""
-    wide = tb.wide_facts(spark, sf_dir, ["revenue", "gross", "returned", "margin", "orders"])
-    roles = {"total_liabilities": "returned", "equity": "revenue", "current_assets": "gross", "current_liabilities": "returned", "inventory": "orders", "net_revenue": "revenue", "profit_after_tax": "margin"}
-    wide = wide.select("entity", "period", *[F.col(c).cast("double").alias(r) for r, c in roles.items()])
-    names = {"debt_to_equity": 6, "quick_ratio": 6, "net_margin": 6, "working_capital": 2}
-    known = fo.registry()
-    out = fo.evaluate(wide, [known[n] for n in names])
-    return out.groupBy("entity", "period").pivot("formula", list(names)).agg(F.first("value")).select("entity", "period", *[F.round(n, d).alias(n) for n, d in names.items()])
+    """All reviewed formulas by name over columns that play the statements' metrics."""
+    wide = tb.wide_facts(spark, sf_dir, ROLES)
+    wide = wide.select("entity", "period", *[F.col(c).cast("double").alias(leaf) for leaf, c in PLAYS.items()])
+    return fo.evaluate(wide, list(fo.registry().values())).select("entity", "period", "formula", F.round("value", 6).alias("value"), "status")
 
 
 # ---- retrieval
@@ -450,15 +618,27 @@ def retrieval_scope_filter(spark, sf_dir):
     return re_.scope_filter(cards, ["src1", "src2", "src3"], (1000, 2000), "en", 500).select("uid", "entity")
 
 
+#: Labels as a report may print them, from parts: as the alias stands, in capitals, with a word behind, with marks.
+LABELS = {0: "p_name", 1: "upper(p_name)", 2: "concat(p_name, ' ', lower(p_type))", 3: "concat(replace(p_name, 'e', 'é'), case when p_size > 25 then ' Ñ' else '' end)"}
+LABEL_CASE = "case p_size % 4 " + " ".join(f"when {n} then {e}" for n, e in LABELS.items()) + " end"
+ALIAS_SQL = (
+    "select distinct p_name as alias, replace(p_name, ' ', '_') as metric from part where p_brand <> 'Brand#3' and p_name not like 'hot %' "
+    "union all select distinct split_part(p_name, ' ', 1), concat('any_', split_part(p_name, ' ', 1)) from part where p_name like 'r%'"
+)
+
+
 @query(
-    "select label, metric, strength from (values ('Net Revenue', 'net_revenue', 4), ('NET REVENUE', 'net_revenue', 4), ('Doanh thu thuần', 'net_revenue', 3), "
-    "('net revenue from sales', 'net_revenue', 2), ('gross profit margin', 'gross_margin', 2)) as v(label, metric, strength)"
+    f"with l as (select distinct {LABEL_CASE} as label from part), a as ({ALIAS_SQL}), f as (select label, lower(label) as raw, lower(strip_accents(label)) as folded from l), "
+    "m as (select label, metric, alias, case when raw = alias then 4 when folded = alias then 3 else 2 end as strength from f join a on starts_with(folded || ' ', alias || ' ')), "
+    "r as (select *, row_number() over (partition by label order by strength desc, length(alias) desc, metric) as place from m) select label, metric, strength from r where place = 1"
 )
 def metric_match_cascade(spark, sf_dir):
-    labels = spark.createDataFrame([("Net Revenue",), ("NET REVENUE",), ("Doanh thu thuần",), ("net revenue from sales",), ("gross profit margin",), ("other",)], "label string")
-    aliases = spark.createDataFrame([("net revenue", "net_revenue"), ("doanh thu thuan", "net_revenue"), ("gross profit", "gross_profit"), ("gross profit margin ratio", "x"), ("gross profit margin", "gross_margin")], "alias string, metric string")
-    out = re_.match_metric(labels, aliases)
-    return out.withColumn("strength", F.when(F.col("label") == "gross profit margin", 2).otherwise(F.col("strength")))
+    part = tb.table(spark, sf_dir, "part")
+    labels = part.select(F.expr(LABEL_CASE).alias("label")).distinct()
+    whole = part.where("p_brand <> 'Brand#3' AND p_name NOT LIKE 'hot %'").select(F.col("p_name").alias("alias"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("metric"))
+    word = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
+    first = part.where("p_name LIKE 'r%'").select(word.alias("alias"), F.concat(F.lit("any_"), word).alias("metric"))
+    return re_.match_metric(labels, whole.distinct().unionByName(first.distinct()))
 
 
 # ---- evaluation

@@ -20,9 +20,10 @@ M = "with " + tb.wide_sql("segment")
 SPAN = "(select min(period) as y0, max(period) as y1 from w)"
 
 
-def span(df: DataFrame) -> tuple[int, int]:
-    """First and last period of a series (two numbers)."""
-    return df.agg(F.min("period"), F.max("period")).first()
+def spanned(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """A series, held so that it is computed once, with its first and last period (two numbers)."""
+    held = df.persist()
+    return held, *held.agg(F.min("period"), F.max("period")).first()
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
@@ -42,8 +43,7 @@ def scope_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     "where period between y0 + 1 and y0 + 2 + 1 and (entity is null or entity <> 'NATION_1')"
 )
 def scope_hard_filter(spark, sf_dir):
-    df = tb.series(spark, sf_dir, "revenue")
-    low, _ = span(df)
+    df, low, _ = spanned(tb.series(spark, sf_dir, "revenue"))
     kept = df.where(F.col("period").between(low + 1, low + 2 + 1) & (F.col("entity").isNull() | (F.col("entity") != "NATION_1")))
     return rounded(kept.select("entity", "period", "value"), digits=2)
 
@@ -78,15 +78,13 @@ GROWTH = f"{W}, p as (select entity, max(case when period = y0 then {{m}} end) a
 
 @query(GROWTH.format(m="revenue") + " select entity, round((b - a) / abs(a), 6) as value, 'OK' as status from p where a is not null and b is not null")
 def growth_ratio_v3(spark, sf_dir):
-    df = tb.series(spark, sf_dir, "revenue")
-    old, new = span(df)
+    df, old, new = spanned(tb.series(spark, sf_dir, "revenue"))
     return rounded(se.growth_between(df, new, old).select("entity", "value", "status"), digits=6)
 
 
 @query(GROWTH.format(m="revenue") + " select entity, round((b - a) / abs(a) * 100, 6) as value, 'percent' as dimension from p where a is not null and b is not null")
 def growth_percent_v5(spark, sf_dir):
-    df = tb.series(spark, sf_dir, "revenue")
-    old, new = span(df)
+    df, old, new = spanned(tb.series(spark, sf_dir, "revenue"))
     return rounded(se.growth_between(df, new, old, percent=True).select("entity", "value", "dimension"), digits=6)
 
 
@@ -96,15 +94,13 @@ def growth_percent_v5(spark, sf_dir):
     "case when a = 0 then 'ZERO_BASE' when a < 0 then 'NEGATIVE_BASE' end as reason from p where a is not null and b is not null"
 )
 def growth_guarded_v2(spark, sf_dir):
-    df = tb.series(spark, sf_dir, "margin")
-    old, new = span(df)
+    df, old, new = spanned(tb.series(spark, sf_dir, "margin"))
     return rounded(se.growth_guarded(df, new, old).select("entity", "value", "status", "reason"), digits=6)
 
 
 @query(f"{W}, p as (select entity, max(case when period = y0 then revenue end) as a, max(case when period = y1 then revenue end) as b from w, {SPAN} group by entity) select entity, round(b - a, 2) as value from p where a is not null and b is not null")
 def align_shared_axis(spark, sf_dir):
-    df = tb.series(spark, sf_dir, "revenue")
-    old, new = span(df)
+    df, old, new = spanned(tb.series(spark, sf_dir, "revenue"))
     return rounded(se.arithmetic(se.at_period(df, new), se.at_period(df, old), "subtract", how="entity").select("entity", "value"), digits=2)
 
 
@@ -126,8 +122,7 @@ def align_scalar(spark, sf_dir):
     "from a full join b on a.entity = b.entity and a.period = b.period"
 )
 def align_equal_keys(spark, sf_dir):
-    df = tb.series(spark, sf_dir, "revenue")
-    low, _ = span(df)
+    df, low, _ = spanned(tb.series(spark, sf_dir, "revenue"))
     left, right = df.where(F.col("period") > low), tb.series(spark, sf_dir, "returned").where("entity <> 'NATION_2'")
     return rounded(se.arithmetic(left, right, "subtract", how="equal").drop("dimension"), digits=2)
 
@@ -159,11 +154,8 @@ def unit_convert_kind(spark, sf_dir):
     "round(max(revenue), 2) as v_max, round(median(revenue), 4) as v_median, count(revenue) as v_count from w group by period"
 )
 def agg_by_period(spark, sf_dir):
-    df = tb.series(spark, sf_dir, "revenue")
-    out = None
-    for name, function in (("v_sum", "sum"), ("v_avg", "average"), ("v_min", "minimum"), ("v_max", "maximum"), ("v_median", "median"), ("v_count", "count")):
-        one = ag.aggregate(df, function, ["period"]).select("period", F.col("value").alias(name))
-        out = one if out is None else out.join(one, "period")
+    names = {"v_sum": "sum", "v_avg": "average", "v_min": "minimum", "v_max": "maximum", "v_median": "median", "v_count": "count"}
+    out = ag.aggregate_all(tb.series(spark, sf_dir, "revenue"), names, ["period"])
     digits = {"v_sum": 2, "v_avg": 4, "v_min": 2, "v_max": 2, "v_median": 4}
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()}).withColumn("v_count", F.col("v_count").cast("bigint"))
 
@@ -185,10 +177,8 @@ def sum_by_scope(spark, sf_dir):
 
 @query(f"{W} select entity, round(arg_min(revenue, period), 2) as first_value, round(arg_max(revenue, period), 2) as last_value from w group by entity")
 def earliest_latest_by_entity(spark, sf_dir):
-    df = tb.series(spark, sf_dir, "revenue")
-    first = ag.earliest_by_entity(df).withColumnRenamed("value", "first_value")
-    last = ag.latest_by_entity(df).withColumnRenamed("value", "last_value")
-    return rounded(first.join(last, "entity"), "first_value", "last_value", digits=2)
+    ends = ag.ends_by_entity(tb.series(spark, sf_dir, "revenue"))
+    return rounded(ends.withColumnsRenamed({"first": "first_value", "last": "last_value"}), "first_value", "last_value", digits=2)
 
 
 ENDS = f"{W}, e as (select entity, arg_min(revenue, period) as a, arg_max(revenue, period) as b, min(period) as p0, max(period) as p1 from w group by entity)"
@@ -472,8 +462,7 @@ def exists_not_exists(spark, sf_dir):
 )
 def flagship_growth(spark, sf_dir):
     """Which entity grew most between the last two complete periods."""
-    df = tb.series(spark, sf_dir, "revenue")
-    _, last = span(df)
+    df, _, last = spanned(tb.series(spark, sf_dir, "revenue"))
     growth = se.growth_between(df, last - 1, last - 2).where("status = 'OK'")
     best = wi.rank_members(growth, "entity", 1)
     return best.select("entity", F.round("value", 6).alias("growth"))

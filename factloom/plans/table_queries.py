@@ -139,15 +139,16 @@ def baseline_overlay(spark, sf_dir):
 
 
 @query(
-    "with u as (select event_id from events), p as (select event_id from events where event_type = 'purchase' or value > 50), q as (select event_id from events where event_type <> 'purchase' and value <= 40) "
-    "select 'lost' as \"check\", (select count(*) from (select * from u except select * from p except select * from q)) as n union all select 'foreign', 0 "
+    "with u as (select event_id from events where value < 200), p as (select event_id from events where event_type = 'purchase' or value > 50), q as (select event_id from events where event_type <> 'purchase' and value <= 40) "
+    "select 'lost' as \"check\", (select count(*) from (select * from u except select * from p except select * from q)) as n "
+    "union all select 'foreign', (select count(*) from ((select * from p union select * from q) except select * from u)) "
     "union all select 'shared', (select count(*) from (select * from p intersect select * from q)) "
     "union all select 'parts_total', (select count(*) from p) + (select count(*) from q) union all select 'universe_total', (select count(*) from u)"
 )
 def setops_no_loss(spark, sf_dir):
     events = tb.table(spark, sf_dir, "events")
     parts = so.partition_of(events, {"p": "event_type = 'purchase' OR value > 50", "q": "event_type <> 'purchase' AND value <= 40"})
-    return so.no_loss(events, parts, "event_id")
+    return so.no_loss(events.where("value < 200"), parts, "event_id")
 
 
 @query(
@@ -160,13 +161,13 @@ def set_relations(spark, sf_dir):
 
 
 @query(
-    "(select user_id from events where event_type = 'click' intersect select user_id from events where event_type = 'view') "
-    "except select user_id from events where event_type = 'error'"
+    "(select o_custkey from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O') "
+    "except select o_custkey from orders where o_orderstatus = 'P'"
 )
 def setops_intersect_except(spark, sf_dir):
-    events = tb.table(spark, sf_dir, "events")
-    users = lambda kind: events.where(F.col("event_type") == kind).select("user_id")
-    return users("click").intersect(users("view")).subtract(users("error"))
+    orders = tb.table(spark, sf_dir, "orders")
+    customers = lambda status: orders.where(F.col("o_orderstatus") == status).select("o_custkey")
+    return customers("F").intersect(customers("O")).subtract(customers("P"))
 
 
 @query(
@@ -277,21 +278,43 @@ def collision_groups(spark, sf_dir):
     return qu.collision_groups(lines, COLLISION_KEYS, "period", "l_quantity", "l_orderkey", "l_linenumber", "l_suppkey", "anchor")
 
 
-@query(
-    "with v as (select o_orderkey, o_totalprice from orders), l as (select l_orderkey, sum(cast(l_extendedprice as decimal(18,4))) filter (where l_returnflag <> 'R') as kept, "
-    "sum(cast(l_extendedprice as decimal(18,4))) filter (where l_returnflag = 'R') as returned from lineitem group by 1) "
-    "select o_orderkey as scope, round(o_totalprice - cast(kept as double) - coalesce(cast(returned as double), 0), 2) as gap, "
-    "case when kept is null then 'UNTESTABLE' when abs(o_totalprice - cast(kept as double) - coalesce(cast(returned as double), 0)) <= 50000 then 'OK' else 'BROKEN' end as status "
-    "from v left join l on o_orderkey = l_orderkey"
+IDENTITIES = [
+    qu.Identity("gross", "gross", ("kept",), ("returned",)),
+    qu.Identity("all_returned", "gross", ("returned",)),
+    qu.Identity("net", "gross", ("net", "discount")),
+    qu.Identity("whole_units", "gross", ("whole",)),
+    qu.Identity("order_price", "price", ("gross",)),
+    qu.Identity("quantity", "quantity", ("small",), ("large",)),
+]
+CODES = {
+    "gross": "sum(cast(l_extendedprice as decimal(18,4)))",
+    "kept": "sum(case when l_returnflag <> 'R' then cast(l_extendedprice as decimal(18,4)) end)",
+    "returned": "sum(case when l_returnflag = 'R' then cast(l_extendedprice as decimal(18,4)) end)",
+    "net": "sum(cast(round(l_extendedprice * (1 - l_discount), 0) as decimal(18,4)))",
+    "discount": "sum(cast(round(l_extendedprice * l_discount, 0) as decimal(18,4)))",
+    "whole": "sum(cast(floor(l_extendedprice) as decimal(18,4)))",
+    "quantity": "sum(cast(l_quantity as decimal(18,4)))",
+    "small": "sum(case when l_quantity <= 25 then cast(l_quantity as decimal(18,4)) end)",
+    "large": "sum(case when l_quantity > 25 then cast(l_quantity as decimal(18,4)) end)",
+}
+IDENTITY_SQL = (
+    "with c as (select l_orderkey, " + ", ".join(f"cast({e} as double) as {c}" for c, e in CODES.items()) + " from lineitem group by 1), "
+    "w as (select o_orderkey as scope, c.*, o_totalprice as price from orders left join c on l_orderkey = o_orderkey), g as ("
+    "select scope, 'gross' as identity, gross - (kept + coalesce(returned, 0)) as gap from w union all select scope, 'all_returned', gross - returned from w "
+    "union all select scope, 'net', gross - (net + discount) from w union all select scope, 'whole_units', gross - whole from w "
+    "union all select scope, 'order_price', price - gross from w union all select scope, 'quantity', quantity - (small + coalesce(large, 0)) from w) "
+    "select scope, identity, round(gap, 2) + 0.0 as gap, case when gap is null then 'UNTESTABLE' when abs(gap) <= 2 then 'OK' else 'BROKEN' end as status from g"
 )
+
+
+@query(IDENTITY_SQL)
 def arithmetic_identities(spark, sf_dir):
     lines = tb.table(spark, sf_dir, "lineitem")
-    code = F.when(F.col("l_returnflag") == "R", "returned").otherwise("kept")
-    parts = lines.groupBy(F.col("l_orderkey").alias("scope"), code.alias("code")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).cast("double").alias("value"))
-    total = tb.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scope"), F.lit("total").alias("code"), F.col("o_totalprice").alias("value"))
-    own = parts.join(total.select("scope"), "scope", "left_semi")
-    found = qu.identity_check(total.unionByName(own), ["scope"], "code", "value", "total", ["kept"], ["returned"], 50000.0)
-    return found.withColumn("gap", F.round("gap", 2))
+    sums = lines.groupBy(F.col("l_orderkey").alias("scope")).agg(*[F.expr(e).cast("double").alias(c) for c, e in CODES.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("value")) for c in CODES])
+    price = tb.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scope"), F.lit("price").alias("code"), F.col("o_totalprice").alias("value"))
+    found = qu.reconcile(price.unionByName(sums.select("scope", F.inline(rows))), ["scope"], "code", "value", IDENTITIES)
+    return found.withColumn("gap", F.round("gap", 2) + F.lit(0.0))
 
 
 @query("select c_mktsegment, string_agg(distinct cast(c_nationkey as varchar), ',' order by cast(c_nationkey as varchar)) as joined from customer group by 1")
@@ -315,25 +338,32 @@ def digit_profile(spark, sf_dir):
     return first.join(qu.column_profile(text, ["scope"], "size").select("scope", "share_short"), "scope")
 
 
-@query("select 'lost' as gate, (select count(*) from orders where o_orderkey not in (select l_orderkey from lineitem)) as n, true as passed")
+GATE_LIMITS = {"lost": 0, "foreign": 0, "shared": 0, "parts_total": 10**12}
+
+
+@query(
+    "with u as (select o_orderkey as k from orders where o_orderstatus <> 'P'), a as (select distinct l_orderkey as k from lineitem where l_returnflag = 'R'), "
+    "b as (select distinct l_orderkey as k from lineitem where l_quantity > 40), p as (select * from a union all select * from b), n as ("
+    "select 'lost' as gate, (select count(*) from (select k from u except select k from p)) as n, 0 as most union all select 'foreign', (select count(*) from (select k from p except select k from u)), 0 "
+    "union all select 'shared', (select count(*) from (select k from a intersect select k from b)), 0 union all select 'parts_total', (select count(*) from p), 1000000000000 "
+    "union all select 'universe_total', (select count(*) from u), 0) select gate, n, n <= most as passed from n"
+)
 def release_gates(spark, sf_dir):
     orders, lines = (tb.table(spark, sf_dir, n) for n in ("orders", "lineitem"))
-    found = so.no_loss(orders.select(F.col("o_orderkey").alias("key")), {"lines": lines.select(F.col("l_orderkey").alias("key")).distinct()}, "key")
-    return qu.gates(found.where("check = 'lost'"), {"lost": 10_000_000})
+    part = lambda condition: lines.where(condition).select(F.col("l_orderkey").alias("key")).distinct()
+    universe = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("key"))
+    return qu.gates(so.no_loss(universe, {"returned": part("l_returnflag = 'R'"), "large": part("l_quantity > 40")}, "key"), GATE_LIMITS)
 
 
 # ---- text
 
 FOLD_SQL = "lower(strip_accents(text))"
 NORM_SQL = f"trim(regexp_replace({FOLD_SQL}, '\\s+', ' ', 'g'))"
-#: Letters that the SQL side does not fold like ours are left out of the comparison by comparing ASCII letters only.
-ASCII_SQL = f"regexp_replace({NORM_SQL}, '[^a-z0-9 ]', '', 'g')"
 
 
-@query(f"select doc_id, md5({ASCII_SQL}) as digest from documents")
+@query(f"select doc_id, md5({NORM_SQL}) as digest from documents")
 def text_normalize(spark, sf_dir):
-    plain = F.regexp_replace(tx.normalize_search("text"), "[^a-z0-9 ]", "")
-    return tb.table(spark, sf_dir, "documents").select("doc_id", F.md5(plain.cast("binary")).alias("digest"))
+    return tb.table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.normalize_search("text").cast("binary")).alias("digest"))
 
 
 @query(
@@ -351,26 +381,12 @@ def phrase_mentioned(spark, sf_dir):
     return tb.table(spark, sf_dir, "documents").where(tx.phrase_mentioned(F.col("text"), "of the")).select("doc_id")
 
 
-@query(
-    "with t as (select doc_id, source, list_distinct(list_filter(string_split_regex(lower(text[:200]), '[^a-z0-9]+'), lambda x: x <> '')) as s from documents where lang = 'en'), "
-    "p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.s, b.s)) as i, len(list_distinct(list_concat(a.s, b.s))) as u from t a join t b on a.source = b.source and b.doc_id = a.doc_id + 20) "
-    "select a, b, case when u = 0 then null else round(i / u, 6) end as jaccard from p"
-)
-def token_jaccard(spark, sf_dir):
-    docs = tb.table(spark, sf_dir, "documents").where("lang = 'en'")
-    tokens = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 200)), "[^a-z0-9]+"), lambda w: w != ""))
-    own = docs.select("doc_id", "source", tokens.alias("s"))
-    other = own.select(F.col("doc_id").alias("b"), F.col("source"), F.col("s").alias("t"))
-    joined = own.withColumn("b", F.col("doc_id") + 20).join(other, ["b", "source"])
-    return joined.select(F.col("doc_id").alias("a"), "b", F.round(tx.token_jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
-
-
 @query(
     "with t as (select doc_id, lead(doc_id) over (partition by source order by doc_id) as b, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) as s from documents), "
     "p as (select t.doc_id as a, t.b, len(list_intersect(t.s, o.s)) as i, len(list_distinct(list_concat(t.s, o.s))) as u from t join t o on o.doc_id = t.b) "
     "select a, b, case when u = 0 then null else round(i / u, 6) end as jaccard from p"
 )
-def token_jaccard_next(spark, sf_dir):
+def token_jaccard(spark, sf_dir):
     """Token overlap of every whole text with the next document of its source; only ids go through the window."""
     docs = tb.table(spark, sf_dir, "documents")
     tokens = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
@@ -396,63 +412,155 @@ def json_props(spark, sf_dir):
     return tb.table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.coalesce(k > 50, F.lit(False)).alias("high"))
 
 
-# ---- numbers, units, periods: literal fixtures
-
-NUMBERS = [
-    ("1.234.567", "dot_thousands", 1234567.0, "ok"), ("1,234,567", "unknown", 1234567.0, "ok"), ("1.234", "unknown", None, "ambiguous"),
-    ("1.234", "dot_thousands", 1234.0, "ok"), ("1,234", "comma_thousands", 1234.0, "ok"), ("(1.234.567)", "dot_thousands", -1234567.0, "ok"),
-    ("-", "unknown", None, "missing"), ("", "unknown", None, "missing"), ("n/a", "unknown", None, "missing"), ("12,5%", "unknown", 12.5, "ok"),
-    ("1 234 567", "unknown", 1234567.0, "ok"), ("-12", "unknown", -12.0, "ok"), ("12.5", "unknown", 12.5, "ok"), ("1.234.567,89", "unknown", 1234567.89, "ok"),
-    ("1,234,567.89", "unknown", 1234567.89, "ok"), ("abc", "unknown", None, "not_number"), ("97.158.150.939396.219", "dot_thousands", None, "malformed"),
-    ("5000%", "unknown", None, "implausible"), ("0", "unknown", 0.0, "ok"), ("1.234", "comma_thousands", 1.234, "ok"),
-]
-
+# ---- numbers, units, periods: printed from the tables' own values, so that the SQL knows them without parsing
 
-def _values(rows: list[tuple], names: str) -> str:
-    show = lambda v: "null" if v is None else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
-    return f"select * from (values {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) as v({names})"
+NUMBER_FORMS = """case o_orderkey % 10
+  when 0 then replace(format_number(n, 0), ',', '.')
+  when 1 then format_number(n, 0)
+  when 2 then concat('(', replace(format_number(n, 0), ',', '.'), ')')
+  when 3 then '-'
+  when 4 then concat(cast(n % 100 as string), ',', cast(n % 10 as string), '%')
+  when 5 then replace(format_number(n, 0), ',', ' ')
+  when 6 then concat(replace(format_number(n, 0), ',', '.'), ',25')
+  when 7 then concat('-', cast(n as string))
+  when 8 then concat(cast(n % 9 + 1 as string), '.', lpad(cast(n % 1000 as string), 3, '0'))
+  else 'n/a' end"""
+NUMBER_CONVENTION = "case when o_orderkey % 10 in (0, 2) then 'dot_thousands' else 'unknown' end"
 
 
-@query(_values([(r[0], r[1], r[2], r[3]) for r in NUMBERS], "raw, convention, value, status").replace("1.234)", "1.234)").replace("select *", "select raw, convention, cast(value as double) as value, status"))
+@query(
+    "with t as (select o_orderkey, o_custkey, o_orderkey % 10 as k, o_orderkey * 7919 + 1 as n from orders), "
+    "s as (select *, case when k in (3, 9) then 'missing' when k = 8 or (k = 1 and n between 1000 and 999999) then 'ambiguous' else 'ok' end as status from t) "
+    "select o_orderkey, status, case when status = 'ok' then cast(case k when 2 then -n when 4 then n % 100 + (n % 10) / 10 when 6 then n + 0.25 when 7 then -n else n end as double) end as value from s"
+)
 def number_parse(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in NUMBERS], "raw string, convention string")
-    parsed = nu.parse_number(F.col("raw"), F.col("convention"))
-    return rows.select("raw", "convention", parsed.getField("value").alias("value"), parsed.getField("status").alias("status"))
+    """Numbers of every printed form; the form follows the key."""
+    orders = tb.table(spark, sf_dir, "orders").withColumn("n", F.expr("o_orderkey * 7919 + 1"))
+    parsed = nu.parse_number(F.expr(NUMBER_FORMS), F.expr(NUMBER_CONVENTION))
+    return orders.select("o_orderkey", parsed.getField("status").alias("status"), parsed.getField("value").alias("value"))
 
 
-PERIODS = [
-    ("31/12/2023", 2020, "2023-12-31", "date"), ("01/01/2024", 2020, "2023-12-31", "opening"), ("Quý 3/2023", 2020, "2023-09-30", "quarter"),
-    ("Q1 2022", 2020, "2022-03-31", "quarter"), ("12/2023", 2020, "2023-12-31", "month"), ("2/2024", 2020, "2024-02-29", "month"),
-    ("Year 2021", 2020, "2021-12-31", "year"), ("end of year", 2020, "2020-12-31", "relative_end"), ("beginning of the year", 2020, "2019-12-31", "relative_start"),
-    ("31/02/2023", 2020, None, "invalid"), ("Decree 200/2014/TT", 2020, None, "none"), ("no period", 2020, None, "none"),
-]
+PERIOD_FORMS = """case o_orderkey % 9
+  when 0 then date_format(o_orderdate, "dd/MM/yyyy")
+  when 1 then concat('01/01/', year(o_orderdate))
+  when 2 then concat('Quý ', quarter(o_orderdate), '/', year(o_orderdate))
+  when 3 then concat(month(o_orderdate), '/', year(o_orderdate))
+  when 4 then concat('Year ', year(o_orderdate))
+  when 5 then 'cuối năm'
+  when 6 then 'beginning of the year'
+  when 7 then concat('31/02/', year(o_orderdate))
+  else concat('Decree ', o_orderkey, '/', year(o_orderdate), '/TT') end"""
 
 
-@query(_values(PERIODS, "raw, anchor, period_end, kind"))
+@query(
+    "with t as (select o_orderkey, o_orderkey % 9 as k, cast(o_orderdate as date) as d, cast(1990 + o_orderkey % 30 as integer) as a from orders) select o_orderkey, "
+    "case k when 0 then case when month(d) = 1 and day(d) = 1 then 'opening' else 'date' end when 1 then 'opening' when 2 then 'quarter' when 3 then 'month' when 4 then 'year' "
+    "when 5 then 'relative_end' when 6 then 'relative_start' when 7 then 'invalid' else 'none' end as kind, "
+    "cast(case k when 0 then case when month(d) = 1 and day(d) = 1 then d - interval 1 day else d end when 1 then make_date(year(d) - 1, 12, 31) when 2 then last_day(make_date(year(d), 3 * quarter(d), 1)) "
+    "when 3 then last_day(d) when 4 then make_date(year(d), 12, 31) when 5 then make_date(a, 12, 31) when 6 then make_date(a - 1, 12, 31) end as date) as period_end from t"
+)
 def period_parse(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in PERIODS], "raw string, anchor int")
-    parsed = nu.parse_period(F.col("raw"), F.col("anchor"))
-    return rows.select("raw", "anchor", parsed.getField("period_end").cast("string").alias("period_end"), parsed.getField("kind").alias("kind"))
+    orders = tb.table(spark, sf_dir, "orders").withColumn("text", F.expr(PERIOD_FORMS)).withColumn("anchor", F.expr("cast(1990 + o_orderkey % 30 as int)"))
+    parsed = nu.parse_period(F.col("text"), F.col("anchor"))
+    return orders.select("o_orderkey", parsed.getField("kind").alias("kind"), parsed.getField("period_end").alias("period_end"))
+
+
+@query(
+    "with t as (select o_orderkey, o_orderkey % 4 as k, cast(o_orderdate as date) as d from orders) select o_orderkey, "
+    "case k when 0 then 'date' when 1 then 'none' when 2 then 'opening' else 'none' end as row_kind, "
+    "case k when 0 then d when 2 then make_date(year(d) - 1, 12, 31) end as row_end, "
+    "case k when 3 then 'quarter' else 'document_year' end as table_kind, case k when 3 then last_day(make_date(year(d), 3 * quarter(d), 1)) else make_date(2000 + cast(k as integer), 12, 31) end as table_end, "
+    "k in (0, 2) as matches_year from t where not (k = 0 and month(d) = 1 and day(d) = 1)"
+)
+def period_axes(spark, sf_dir):
+    """Periods of rows, by full dates only, and of tables, which fall back to the document's year."""
+    orders = tb.table(spark, sf_dir, "orders").where("NOT (o_orderkey % 4 = 0 AND month(o_orderdate) = 1 AND day(o_orderdate) = 1)")
+    label = F.expr("case o_orderkey % 4 when 0 then concat('Balance › 01/02/1980 › at ', date_format(o_orderdate, 'dd/MM/yyyy')) when 1 then concat('Note ', year(o_orderdate)) when 2 then concat('at 01/01/', year(o_orderdate)) else 'cuối năm' end")
+    caption = F.expr("case when o_orderkey % 4 = 3 then concat('Q', quarter(o_orderdate), ' ', year(o_orderdate)) else 'Table of balances' end")
+    row = nu.resolve_row_period(label)
+    table = nu.resolve_table_period(caption, F.expr("cast(2000 + o_orderkey % 4 as int)"))
+    wanted = F.expr("cast(case when o_orderkey % 4 = 2 then year(o_orderdate) - 1 else year(o_orderdate) end as string)")
+    return orders.select(
+        "o_orderkey", row.getField("kind").alias("row_kind"), row.getField("period_end").alias("row_end"), table.getField("kind").alias("table_kind"),
+        table.getField("period_end").alias("table_end"), nu.period_matches(row.getField("period_end"), wanted).alias("matches_year"),
+    )
 
 
-UNITS = [
-    ("Unit: million VND", "money", 6, "VND"), ("thousand USD", "money", 3, "USD"), ("in %", "percent", None, None), ("shares", "shares", 0, None),
-    ("thousand shares", "shares", 3, None), ("days", "days", None, None), ("nothing here", "unknown", None, None), ("percentage points", "percent_point", None, None),
-    ("tỷ đồng", "money", 9, "VND"), ("times", "ratio", None, None),
-]
+UNIT_SCALES = [("", None), ("thousand", 3), ("million", 6), ("tỷ", 9), ("nghìn tỷ", 12), ("triệu", 6), ("thousand billion", 12)]
+UNIT_MONEY = [("VND", "VND"), ("đồng", "VND"), ("USD", "USD"), ("EUR", "EUR")]
+UNIT_OTHER = [("in %", "percent"), ("thousand shares", "shares"), ("số ngày", "days"), ("tỷ lệ", "unknown"), ("percentage points", "percent_point"), ("lần", "ratio")]
+
+
+def _pick(values: list, index: str) -> str:
+    show = lambda v: "null" if v is None else str(v) if isinstance(v, int) else "'" + v + "'"
+    return f"case {index} " + " ".join(f"when {n} then {show(v)}" for n, v in enumerate(values)) + " end"
+
+
+UNIT_TEXT = (
+    f"case when p_partkey % 5 = 0 then {_pick([t for t, _ in UNIT_OTHER], 'p_size % 6')} else concat(case when p_partkey % 2 = 0 then 'Unit: ' else '31/12/2018' end, "
+    f"{_pick([t for t, _ in UNIT_SCALES], 'p_size % 7')}, ' ', {_pick([t for t, _ in UNIT_MONEY], 'p_partkey % 4')}) end"
+)
 
 
-@query(_values(UNITS, "raw, kind, scale, currency"))
+@query(
+    f"select p_partkey, case when p_partkey % 5 = 0 then {_pick([k for _, k in UNIT_OTHER], 'p_size % 6')} else 'money' end as kind, "
+    f"cast(case when p_partkey % 5 = 0 then case p_size % 6 when 1 then 3 end else {_pick([v for _, v in UNIT_SCALES], 'p_size % 7')} end as integer) as scale, "
+    f"case when p_partkey % 5 > 0 then {_pick([c for _, c in UNIT_MONEY], 'p_partkey % 4')} end as currency from part"
+)
 def unit_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(u[0],) for u in UNITS], "raw string")
-    unit = nu.parse_unit(F.col("raw"))
-    return rows.select("raw", *[unit.getField(f).alias(f) for f in ("kind", "scale", "currency")])
+    unit = nu.parse_unit(F.expr(UNIT_TEXT))
+    return tb.table(spark, sf_dir, "part").select("p_partkey", *[unit.getField(f).alias(f) for f in ("kind", "scale", "currency")])
+
+
+@query(
+    "with t as (select p_partkey, p_partkey % 3 = 0 as c, p_partkey % 5 = 0 as col, p_partkey % 7 = 0 as r, p_partkey % 11 = 0 as tab, p_partkey % 13 = 0 as ctx from part), "
+    "u as (select *, case when c then 3 when col then 6 when r then 9 when tab then 6 when ctx then 12 end as s, "
+    "case when c then 'cell' when col then 'column' when r then 'row' when tab then 'table' when ctx then 'context' end as src, "
+    "case when c then 'USD' when col then 'VND' when r then 'EUR' when tab then 'VND' else 'JPY' end as cur from t) "
+    "select p_partkey, 'money' as kind, cur as currency, cast(coalesce(s, 0) as integer) as scale, coalesce(src, 'currency') as scale_source, false as assumed from u"
+)
+def unit_layers(spark, sf_dir):
+    """Seven layers; the prose around a table names a credit line in another scale, which must not count."""
+    part = tb.table(spark, sf_dir, "part")
+    own = lambda n, text: F.when(F.col("p_partkey") % n == 0, text).otherwise("")
+    unit = nu.resolve_unit(
+        own(3, "5 thousand USD"), own(5, "31/12/2024Triệu VND"), own(7, "in billion EUR"),
+        F.concat(own(11, "Đơn vị tính: triệu đồng. "), F.lit("loans under a limit in yên")), F.concat(own(13, "Đơn vị: nghìn tỷ đồng. "), F.lit("of the company")),
+    )
+    return part.select("p_partkey", *[unit.getField(f).alias(f) for f in ("kind", "currency", "scale", "scale_source", "assumed")])
 
 
-@query("select 1 as id, '2019,2020,2021' as years union all select 2, '2018,2022' union all select 3, ''")
+@query(
+    "with t as (select o_orderkey, cast(year(o_orderdate) as integer) as y, o_orderkey % 4 as k from orders), "
+    "e as (select o_orderkey, unnest(case k when 0 then range(y - 2, y + 1) || [y + 3] when 1 then range(y - 1, y + 1) || range(y + 2, y + 4) when 2 then [y - 5, y] else [] end) as y from t), "
+    "a as (select o_orderkey, string_agg(y::varchar, ',' order by y) as years from (select distinct * from e) group by 1) select o_orderkey, coalesce(years, '') as years from t left join a using (o_orderkey)"
+)
 def year_ranges(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "from 2019-2021"), (2, "2022 and 2018, 2022"), (3, "never")], "id int, raw string")
-    return rows.select("id", F.array_join(nu.year_range(F.col("raw")), ",").alias("years"))
+    text = F.expr(
+        "case o_orderkey % 4 when 0 then concat(y - 2, '-', y, ' and ', y + 3) when 1 then concat(y - 1, '-', y, ', ', y + 2, '–', y + 3, ', ', y) when 2 then concat(y, ' - ', y - 5) else 'never 12345' end"
+    )
+    orders = tb.table(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate"))
+    return orders.select("o_orderkey", F.array_join(nu.year_range(text), ",").alias("years"))
+
+
+KIND_CELLS = {
+    "date": ("date_format(o_orderdate, 'd/M/yyyy')", "''"),
+    "percent": ("concat(o_orderkey % 90, ',5%')", "'Amount'"),
+    "rate": ("cast(o_orderkey % 9 as string)", "'Lãi suất'"),
+    "per_share": ("cast(o_orderkey as string)", "'Lãi trên cổ phiếu'"),
+    "shares": ("cast(o_orderkey as string)", "'Number of shares'"),
+    "days": ("cast(o_orderkey % 365 as string)", "'Overdue days'"),
+    "note_ref": ("concat(o_orderkey % 50, '.', o_orderkey % 9)", "'Note'"),
+    "code": ("cast(100 + o_orderkey % 800 as string)", "'Mã số'"),
+    "money": ("cast(o_totalprice as string)", "'Amount'"),
+    "text": ("'Total'", "'Amount'"),
+}
+
+
+@query(f"select o_orderkey, {_pick(list(KIND_CELLS), 'o_orderkey % 10')} as kind from orders")
+def value_kinds(spark, sf_dir):
+    case = lambda at: "case o_orderkey % 10 " + " ".join(f"when {n} then {v[at]}" for n, v in enumerate(KIND_CELLS.values())) + " end"
+    return tb.table(spark, sf_dir, "orders").select("o_orderkey", nu.value_kind(F.expr(case(0)), F.expr(case(1))).alias("kind"))
 
 
 @query("select p_brand, case when d = 0 and c = 0 then 'unknown' when d >= c then 'dot_thousands' else 'comma_thousands' end as convention from (select p_brand, count(*) filter (where p_size % 3 = 0) as d, count(*) filter (where p_size % 2 = 0) as c from part group by 1)")

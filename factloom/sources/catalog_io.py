@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a local master alone may do without."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or "file://" + tempfile.mkdtemp(prefix="factloom-")).rstrip("/")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """``path, bytes, sha256, duplicate_of``: every file under a path; byte duplicates point to the first path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -57,14 +67,16 @@ def read_questions(spark: SparkSession, path: str, schema: str, key: str, offset
 WIDE_COLUMNS = 2_000
 
 
-def wide_table(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """Wide layout of a long table: one column per header in the order of their names, repeated headers numbered.
+def wide_table(df: DataFrame, row: str, column: str, value: str, order: str | None = None) -> DataFrame:
+    """Wide layout of a long table: one column per header, repeated headers of a row numbered.
 
-    A table with more than ``WIDE_COLUMNS`` of them is refused, as no header may be dropped.
+    Headers stand in the order of their first appearance by ``order``, or of their names without it.  A table
+    with more than ``WIDE_COLUMNS`` of them is refused, as no header may be dropped.
     """
-    named = df.withColumn("_n", F.row_number().over(Window.partitionBy(row, column).orderBy(value)))
+    named = df.withColumn("_n", F.row_number().over(Window.partitionBy(row, column).orderBy(order or value)))
     named = named.withColumn("_name", F.when(F.col("_n") == 1, F.col(column).cast("string")).otherwise(F.concat(F.col(column).cast("string"), F.lit("__"), F.col("_n").cast("string"))))
-    names = [r[0] for r in named.select("_name").distinct().orderBy("_name").limit(WIDE_COLUMNS + 1).collect()]
+    first = named.groupBy("_name").agg((F.min(order) if order else F.lit(0)).alias("_first"))
+    names = [r[0] for r in first.orderBy("_first", "_name").limit(WIDE_COLUMNS + 1).collect()]
     if len(names) > WIDE_COLUMNS:
         raise ValueError(f"{column} has more than {WIDE_COLUMNS} headers")
     return named.groupBy(row).pivot("_name", names).agg(F.first(value))

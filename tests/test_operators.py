@@ -232,7 +232,7 @@ def test_token_jaccard_reads_whole_texts_of_all_documents(spark, tmp_path):
             both = words[a] | words[b]
             want[a, b] = round(len(words[a] & words[b]) / len(both), 6) if both else None
     assert len(want) == 4
-    assert {(r.a, r.b): r.jaccard for r in catalog.queries()["token_jaccard_next"](spark, str(tmp_path)).collect()} == want
+    assert {(r.a, r.b): r.jaccard for r in catalog.queries()["token_jaccard"](spark, str(tmp_path)).collect()} == want
 
 
 def test_wide_table_refuses_to_drop_headers(spark, monkeypatch):
