@@ -140,7 +140,9 @@ def _keys(data: np.ndarray, ends: np.ndarray, bits: int):
 def shared_anchors(table: DataFrame, bits: int) -> DataFrame:
     """``chunk, bucket, bits``: for each chunk's distinct anchor hashes, in order, whether another document has them too.
 
-    A hash leaves a chunk once, so the most frequent anchor is no more than one entry a chunk.
+    A hash leaves a chunk once, so the most frequent anchor is no more than one entry a chunk, and a chunk sends
+    no more rows than it has buckets or distinct hashes, whichever is fewer: at any size the rows stay in
+    proportion to the text.
     """
 
     def send(batches):
@@ -289,10 +291,47 @@ def repeated_runs(strings: list[bytes], doc: np.ndarray) -> tuple[tuple, tuple]:
     return (who[new], step[new], step[last] + LENGTH), (head[own], start[own])
 
 
-def repeats(found: DataFrame) -> DataFrame:
-    """``chunk, row, start, end``: byte runs of documents that strings of earlier documents cover."""
+def repeated_runs_wide(strings: list[bytes], place: np.ndarray, doc: np.ndarray) -> tuple[tuple, tuple]:
+    """The same for any number of rows of one leading gram, in memory in proportion to the rows' bytes.
+
+    Equal strings have their anchor at the same place, so the strings with the anchor at one place are compared
+    at a time, one a row at most; ``place`` is the anchor's place in each row's strings.
+    """
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    offset = np.cumsum(sizes) - sizes
+    at = words_at(np.frombuffer(b"".join(strings), np.uint8))
+    hit = np.zeros((len(strings), REACH + 1), bool)
+    heads: list[tuple[np.ndarray, np.ndarray]] = []
+    for back in range(REACH):
+        step = place - back
+        rows = np.flatnonzero((step >= 0) & (step <= sizes - LENGTH))
+        if not len(rows):
+            continue
+        begin = offset[rows] + step[rows]
+        group = multikey_groups([at[begin + shift] for shift in (*range(0, LENGTH - 8, 8), LENGTH - 8)])
+        low = np.full(int(group.max()) + 1, LAST, np.int64)
+        np.minimum.at(low, group, doc[rows])
+        hit[rows, step[rows]] = low[group] < doc[rows]
+        first = rows[doc[rows] == low[group]]
+        heads.append((first, step[first]))
+    edge = np.diff(hit.astype(np.int8), axis=1, prepend=0)
+    row, start = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    empty = np.zeros(0, np.int64)
+    head, step = (np.concatenate(c) for c in zip(*heads, strict=True)) if heads else (empty, empty)
+    return (row, start, end - 1 + LENGTH), (head, step)
+
+
+#: Bytes of text whose suffixes one range partition sorts, at most.
+PARTITION_BYTES = 128 << 20
+
+
+def repeats(found: DataFrame, total: int) -> DataFrame:
+    """``chunk, row, start, end``: byte runs of documents that strings of earlier documents cover; ``total`` bytes of text."""
     keys = ["k1", "k2", "doc", "chunk", "row", "start"]
-    ordered = found.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    few = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-total // PARTITION_BYTES)
+    ordered = (found.repartitionByRange(parts, *keys) if parts > few else found.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -314,7 +353,10 @@ def repeats(found: DataFrame) -> DataFrame:
                 continue
             part = table.take(pa.array(own))
             strings = part["strings"].to_pylist()
-            (row, first, end), (head, step) = repeated_runs(strings, doc[own])
+            if len(own) > WIDE_ROWS:
+                (row, first, end), (head, step) = repeated_runs_wide(strings, part["place"].to_numpy(), doc[own])
+            else:
+                (row, first, end), (head, step) = repeated_runs(strings, doc[own])
             yield from _found(part, row, start[own][row] + first, start[own][row] + end)
             if is_edge:
                 yield from _found(part, head, start[own][head] + step, None, [strings[r][a : a + LENGTH] for r, a in zip(head.tolist(), step.tolist(), strict=True)])
@@ -329,8 +371,9 @@ def repeats(found: DataFrame) -> DataFrame:
     return made.where("end IS NOT NULL").select("chunk", "row", "start", "end").unionByName(across)
 
 
-#: Suffixes that one slice of a bucket holds, about.
+#: Suffixes that one slice of a bucket holds, about; a group of one gram that has more than ``WIDE_ROWS`` is compared place by place.
 SLICE_ROWS = 20_000
+WIDE_ROWS = 60_000
 
 
 def _found(part: pa.Table, row: np.ndarray, start: np.ndarray, end: np.ndarray | None, strings: list[bytes] | None = None):
@@ -366,9 +409,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``id, n_bytes, spans, kept``: byte runs removed from every text, and the bytes that stay.
 
     A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id.
-    A null text is empty; texts shorter than ``LENGTH`` stay whole; rows with equal ids are not earlier than
-    each other; null ids come after all others; matches never cross documents; an empty table gives an
-    empty table; other columns are left out.
+    A null text is empty; texts shorter than ``LENGTH`` stay whole; very long ones are read whole, each a chunk of
+    its own; rows with equal ids are not earlier than each other, so repeated rows go or stay alike; null ids come
+    after all others; matches never cross documents; an empty table gives an empty table; other columns are left
+    out, so names cannot clash.
     """
     table = materialize(chunks(docs, id_col, text_col), "chunks")
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).first().n or 0
@@ -380,7 +424,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     copies = named.join(firsts, "digest").where("doc > first").groupBy("chunk").agg(F.collect_list("row").alias("copies"))
     copies = materialize(copies, "copies")
     marks = materialize(shared_anchors(table, bits), "marks")
-    gone = repeats(suffixes(table, marks, copies, bits))
+    gone = repeats(suffixes(table, marks, copies, bits), total)
     gone = gone.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "end")).alias("gone"))
     joined = table.select("chunk", "ids", "sizes", "blob").join(gone, "chunk", "left").join(copies, "chunk", "left")
 

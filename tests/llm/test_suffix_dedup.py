@@ -57,7 +57,17 @@ def test_matches_brute_force(spark, monkeypatch, seed):
     assert result(sd.dedup_substrings(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
 
-def test_a_hot_passage_over_many_buckets(spark):
+def test_groups_compared_place_by_place_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(sd, "WIDE_ROWS", 0)
+    monkeypatch.setattr(sd, "PARTITION_BYTES", 4000)
+    rows = corpus(random.Random(5), 80)
+    assert result(sd.dedup_substrings(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_a_hot_passage_over_many_buckets(spark, monkeypatch, wide):
+    if wide:
+        monkeypatch.setattr(sd, "WIDE_ROWS", 0)
     rng = random.Random(8)
     line = "One very common line of text that stands in nearly every document."
     rows = [(n, f"{rng.random()} {line} {rng.random()}" * rng.choice([1, 2])) for n in range(200)]
