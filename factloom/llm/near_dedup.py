@@ -1,12 +1,15 @@
 """MinHash near-dedup with an LSH forest.
 
-Documents with equal shingle sets are one node.  Every tree of the forest sorts all nodes by its own
-order of minhash values; nodes that share a prefix form a region.  Neighbours in the order of the
-prefixes' hashes at ``DEPTHS`` and the node at the end of a region's heaviest path, found by going as
-deep as the region stays crowded, are candidates, so candidates grow with the nodes and not with the
-pairs of a region.  Candidates are confirmed on full shingle sets in rounds that skip what is connected
-already.  Last, whole regions are compared block by block, by signatures and then by shingles, so that
-a link between two nodes of a crowd is found also where no tree made them candidates.
+Documents with equal shingle sets, named by 128-bit digests, are one node.  Every tree of the forest sorts
+all nodes by its own order of minhash values, so the neighbours of a node are those with the longest
+common prefix.  Nodes that share ``REGION`` values form a region, and the depth at which they are looked
+at adapts to it: where a region is sparse, a neighbour counts from ``SHALLOW`` values on if the rest of
+the order agrees too; where it is crowded, it is followed as deep as it stays crowded, and a node's
+candidates are its neighbours, the node at the end of the region's heaviest path, and that of the first
+deeper region that is no longer crowded.  So candidates grow with the nodes and not with the pairs of a
+region.  Candidates are confirmed on full shingle sets in rounds that skip what is connected already.
+Last, whole regions are compared block by block, by signatures and then by shingles, so that a link
+between two nodes of a crowd is found also where no tree made them candidates.
 """
 
 from __future__ import annotations
@@ -20,24 +23,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, materialize, sliced
+from .common import blank_words, materialize, release, sliced
 
 #: Words of a shingle, as the contract of the registered query sets it; the pipeline takes the same.
 SIZE = 2
 THRESHOLD = 80  # per cent
 HASHES = 128
 TREES = 32
-#: Prefix lengths of a tree's order: the region, and the depths to which a crowded region is followed.
-DEPTHS = (5, 8, 12, 20, 36)
-KEYS = [f"k{n}" for n in range(len(DEPTHS))]
+#: Values of a tree's order: the least common prefix of sparse neighbours, that of a region, and all.
+SHALLOW, REGION, DEPTH = 3, 5, 36
+#: Bytes of a path: a hash of the first ``SHALLOW`` values, and one byte for each of the others.
+PATH_BYTES = 8 + DEPTH - SHALLOW
+#: Values of a path that sparse neighbours have in common beyond the first, at least (six deviations below 0.8).
+SPARSE_LEAST = 13
+#: A region of more nodes than this is crowded.
+CROWD = 64
 #: Candidates are looked up in full unless their signatures agree on less than this share (five deviations below 0.8).
 SIGNATURE_LEAST = 0.62
 BLOCK = 4096
-#: Nodes on either side of a block in which whole components are compared.
-COMPARE = 256
 #: Nodes on either side of a block in which regions are compared by signatures, and crowds by shingles.
 REGION_BLOCK = 1024
-CROWD_BLOCK = 512
+CROWD_BLOCK = 1024
 CACHE_WORDS = 400_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -49,9 +55,9 @@ _B = _RNG.integers(0, 1 << 63, HASHES, np.uint64)
 def _orders() -> np.ndarray:
     """For each tree the minhash functions that it compares, in order."""
     rng = np.random.default_rng(7)
-    need = TREES * DEPTHS[0]
-    heads = np.concatenate([rng.permutation(HASHES) for _ in range(-(-need // HASHES))])[:need].reshape(TREES, DEPTHS[0])
-    tails = [rng.permutation(np.setdiff1d(np.arange(HASHES), head))[: DEPTHS[-1] - DEPTHS[0]] for head in heads]
+    need = TREES * REGION
+    heads = np.concatenate([rng.permutation(HASHES) for _ in range(-(-need // HASHES))])[:need].reshape(TREES, REGION)
+    tails = [rng.permutation(np.setdiff1d(np.arange(HASHES), head))[: DEPTH - REGION] for head in heads]
     return np.concatenate([heads, np.stack(tails)], axis=1)
 
 
@@ -103,8 +109,18 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
+def set_digest(hashes: np.ndarray) -> int:
+    """128 bits that name a shingle set."""
+    return xxhash.xxh3_128_intdigest(hashes.tobytes())
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``id, text_hash, node, n_shingles, sketch`` of every row; nodes are 64-bit digests of shingle sets, null for empty ones."""
+    """``id, text_hash, node, check, n_shingles, sketch`` of every row; ``node, check`` are the halves of the set's digest, null for empty ones."""
+    half = (1 << 64) - 1
 
     def run(batches):
         for batch in sliced(batches):
@@ -112,35 +128,40 @@ def features(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
             for text in batch.column(1).to_pylist():
                 own = shingle_hashes(blank_words(text or b""), size)
                 if len(own):
-                    node = xxhash.xxh3_64_intdigest(own.tobytes())
-                    rows.append((node - (1 << 64) if node >> 63 else node, len(own), signature(own).tobytes()))
+                    name = set_digest(own)
+                    rows.append((_signed(name & half), _signed(name >> 64), len(own), signature(own).tobytes()))
                 else:
-                    rows.append((None, 0, None))
-            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["id", "text_hash", "node", "n_shingles", "sketch"])
+                    rows.append((None, None, 0, None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            names = ["id", "text_hash", "node", "check", "n_shingles", "sketch"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("body"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, "id bigint, text_hash bigint, node bigint, n_shingles bigint, sketch binary")
+    return rows.mapInArrow(run, "id bigint, text_hash bigint, node bigint, check bigint, n_shingles bigint, sketch binary")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
-    """``tree, k0, k1, .., node``: per tree the hashed prefixes of its order at ``DEPTHS``."""
+    """``tree, path, node``: per tree a node's place in its order, as bytes that sort like the values they come from."""
 
     def run(batches):
         for batch in sliced(batches, 1024):
             own = batch.column(0).to_numpy()
             sketches = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(own), HASHES)
-            picked = sketches[:, ORDERS].astype(np.uint64)
+            picked = sketches[:, ORDERS]
             key = np.zeros(picked.shape[:2], np.uint64)
-            keys = []
-            for depth in range(DEPTHS[-1]):
-                key = (key ^ (key >> np.uint64(31))) * _M1 + picked[:, :, depth] * _M2
-                if depth + 1 in DEPTHS:
-                    keys.append(pa.array((key ^ (key >> np.uint64(29))).view(np.int64).ravel()))
+            for depth in range(SHALLOW):
+                key = (key ^ (key >> np.uint64(31))) * _M1 + picked[:, :, depth].astype(np.uint64) * _M2
+            paths = np.empty((len(own), TREES, PATH_BYTES), np.uint8)
+            paths[:, :, :8] = (key ^ (key >> np.uint64(29))).astype(">u8").view(np.uint8).reshape(len(own), TREES, 8)
+            paths[:, :, 8:] = picked[:, :, SHALLOW:] & 255  # the low bits, as minima have small high ones
+            rows = len(own) * TREES
+            offsets = np.arange(0, (rows + 1) * PATH_BYTES, PATH_BYTES, dtype=np.int32)
+            path = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(paths.tobytes())])
             trees = pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(own)))
-            yield pa.RecordBatch.from_arrays([trees, *keys, pa.array(np.repeat(own, TREES))], names=["tree", *KEYS, "node"])
+            yield pa.RecordBatch.from_arrays([trees, path, pa.array(np.repeat(own, TREES))], names=["tree", "path", "node"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, f"tree int, {', '.join(f'{k} bigint' for k in KEYS)}, node bigint")
+    return nodes.select("node", "sketch").mapInArrow(run, "tree int, path binary, node bigint")
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -159,46 +180,82 @@ def _heaviest(parent: np.ndarray, size: np.ndarray) -> np.ndarray:
     return order[_starts(parent[order])]
 
 
-def region_candidates(tree, keys, node) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbour pairs and pivot pairs of sorted rows, and each row's region, the regions' pivots and their weights.
+def region_candidates(tree: np.ndarray, paths: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of sorted rows, and each row's region, the regions' pivots and their weights.
 
-    ``keys`` are the prefix hashes from the shallowest to the deepest; a pivot is the row at the end of the
-    path that takes the largest branch at every depth.
+    A pivot is the row at the end of the path that takes the largest branch at every depth, followed while
+    it has more than one row.
     """
-    starts = [_starts(tree, *keys[: n + 1]) for n in range(len(keys))]
+    n = len(node)
+    same = paths[1:] == paths[:-1]
+    common = np.where(same.all(axis=1), PATH_BYTES, same.argmin(axis=1)) * (tree[1:] == tree[:-1])  # bytes of the common prefix
+    at = lambda depth: 8 + depth - SHALLOW  # noqa: E731  # bytes of the first values
+    starts = [np.r_[True, common < at(depth)] if n else np.zeros(0, bool) for depth in range(REGION, DEPTH + 1)]
     firsts = [np.flatnonzero(s) for s in starts]
-    sizes = [np.diff(np.append(f, len(node))) for f in firsts]
-    lead = firsts[-1]
-    for depth in range(len(keys) - 1, 0, -1):
-        parent = (np.cumsum(starts[depth - 1]) - 1)[firsts[depth]]
-        best = _heaviest(parent, sizes[depth])
-        lead, weight = lead[best], sizes[depth][best]
+    sizes = [np.diff(np.append(f, n)) for f in firsts]
     region = np.cumsum(starts[0]) - 1
-    next_to = np.flatnonzero(~starts[0])
-    pivot = node[lead]
-    others = np.flatnonzero(pivot[region] != node)
-    left = np.concatenate([node[next_to - 1], node[others]])
-    right = np.concatenate([node[next_to], pivot[region[others]]])
-    return left, right, region, pivot, weight
+    # From the deepest on: the row that stands for each branch, and the weight of the branch it came from.
+    leads, weights = [firsts[-1]], [sizes[-1]]
+    for level in range(len(starts) - 1, 0, -1):
+        parent = (np.cumsum(starts[level - 1]) - 1)[firsts[level]]
+        best = _heaviest(parent, sizes[level])
+        alone = sizes[level][best] == 1
+        leads.append(np.where(alone, firsts[level - 1], leads[-1][best]))
+        weights.append(sizes[level][best])
+    leads, weights = leads[::-1], weights[::-1]
+    pivot = node[leads[0]]
+    left, right = [], []
+
+    def pair(one: np.ndarray, two: np.ndarray) -> None:
+        differ = one != two
+        left.append(one[differ])
+        right.append(two[differ])
+
+    # Neighbours: inside a region, and in sparse places those whose orders agree on after a shorter prefix.
+    close = np.flatnonzero(common >= at(REGION))
+    sparse = np.flatnonzero((common >= 8) & (common < at(REGION)))
+    agree = same[sparse, 8:].sum(axis=1) >= SPARSE_LEAST
+    for rows in (close, sparse[agree]):
+        pair(node[rows], node[rows + 1])
+    pair(node, pivot[region])
+    # In a crowd also the pivot of the first deeper region that is none.
+    open_rows = np.flatnonzero(sizes[0][region] > CROWD)
+    for level in range(1, len(starts)):
+        if not len(open_rows):
+            break
+        own = (np.cumsum(starts[level]) - 1)[open_rows]
+        settled = (sizes[level][own] <= CROWD) | (level == len(starts) - 1)
+        pair(node[open_rows[settled]], node[leads[level][own[settled]]])
+        open_rows = open_rows[~settled]
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *left]), np.concatenate([empty, *right]), region, pivot, weights[0]
+
+
+def _region_keys(paths: np.ndarray) -> np.ndarray:
+    """One number for the bytes that name a region."""
+    first = np.ascontiguousarray(paths[:, :8]).view(">u8").ravel().astype(np.uint64)
+    for at in range(8, 8 + REGION - SHALLOW):
+        first = (first ^ (first >> np.uint64(31))) * _M1 + paths[:, at]
+    return (first ^ (first >> np.uint64(29))).view(np.int64)
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """``a, b, votes`` (a < b): pairs of nodes that some tree puts next to each other or to a region's pivot.
+    """``a, b, votes`` (a < b): pairs of nodes that some tree makes candidates.
 
     Partitions are ranges of the sorted order, so a crowded region may span several: rows of the regions at
     a partition's ends are handed on and meet the heaviest pivot of their whole region.
     """
-    keys = ["tree", *KEYS, "node"]
+    keys = ["tree", "path", "node"]
     rows = forest(nodes)
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        tree, *prefixes, node = (np.concatenate(c) for c in zip(*parts, strict=True))
-        k0 = prefixes[0]
-        left, right, region, pivot, weight = region_candidates(tree, prefixes, node)
+        tree, node = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("tree", "node"))
+        paths = np.concatenate([np.frombuffer(b"".join(b.column("path").to_pylist()), np.uint8) for b in parts]).reshape(len(node), PATH_BYTES)
+        left, right, region, pivot, weight = region_candidates(tree, paths, node)
         low, high = np.minimum(left, right), np.maximum(left, right)
         if len(low):
             order = np.lexsort((high, low))
@@ -207,9 +264,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
             votes = np.diff(np.append(new, len(low)))
             yield _candidate_batch(low[new], high[new], votes)
         ends = np.flatnonzero((region == region[0]) | (region == region[-1]))
+        keys = _region_keys(paths[ends])
         for start in range(0, len(ends), 10_000):
             own = ends[start : start + 10_000]
-            yield _candidate_batch(node[own], pivot[region[own]], weight[region[own]], tree[own], k0[own])
+            yield _candidate_batch(node[own], pivot[region[own]], weight[region[own]], tree[own], keys[start : start + 10_000])
 
     schema = "a bigint, b bigint, votes bigint, tree int, k0 bigint"
     found = materialize(rows.mapInArrow(run, schema), "candidates")
@@ -240,14 +298,18 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "links")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
+    held = labels._written_path
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("low"))
         fallen = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "low").alias("next"))
         target = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
         jumped = fallen.join(target, "next", "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("jump", "next")).alias("label"))
         jumped = materialize(jumped, "labels")
+        release(links.sparkSession, held)  # the round before is read no more
+        held = jumped._written_path
         labels = jumped.select("node", "label")
         if jumped.where("old <> label").isEmpty():
+            release(links.sparkSession, both._written_path)
             return labels
 
 
@@ -335,67 +397,6 @@ def _through_hubs(left: DataFrame, links: DataFrame) -> DataFrame:
     return far.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), F.lit(0).cast("bigint").alias("votes")).distinct()
 
 
-def _first_links(asked: list[set], members: list[set], threshold: int) -> list[int | None]:
-    """For each set the member of largest overlap that reaches the threshold, counted along an inverted index."""
-    postings: dict[tuple, list[int]] = {}
-    for n, member in enumerate(members):
-        for shingle in member:
-            postings.setdefault(shingle, []).append(n)
-    sizes = np.array([len(m) for m in members], np.int64)
-    out: list[int | None] = []
-    for own in asked:
-        met = [postings[s] for s in own if s in postings]
-        if not met:
-            out.append(None)
-            continue
-        both = np.bincount(np.concatenate(met), minlength=len(members))
-        fits = np.flatnonzero(100 * both >= threshold * (sizes + len(own) - both))
-        out.append(int(fits[both[fits].argmax()]) if len(fits) else None)
-    return out
-
-
-def _exhaustive(left: DataFrame, labels: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """``a, b``: links of pairs still apart, found by asking the node of the smaller component in all of the larger.
-
-    In a crowd of documents just below the threshold, the one link of a node may be to a document that no
-    tree put next to it.  The nodes asked and the members they are compared with meet in blocks of
-    ``COMPARE`` by ``COMPARE``, where overlaps are counted exactly; one link into a component is enough, so
-    pairs never become rows.
-    """
-    sizes = materialize(labels.groupBy("label").agg(F.count("*").alias("size")), "sizes")
-    known = materialize(labels.join(sizes, "label").select("node", "label", "size"), "members")
-    of = lambda x: sizes.select(F.col("label").alias(f"label_{x}"), F.col("size").alias(f"size_{x}"))
-    both = left.select("a", "b", "label_a", "label_b").join(of("a"), "label_a", "left").join(of("b"), "label_b", "left")
-    side = lambda x: F.struct(F.coalesce(f"size_{x}", F.lit(1)).alias("size"), F.col(f"label_{x}").alias("label"))
-    small = side("a") < side("b")
-    pick = lambda first, second: F.when(small, F.col(first)).otherwise(F.col(second))
-    asked = both.select(pick("a", "b").alias("node"), pick("label_b", "label_a").alias("label"), pick("size_b", "size_a").alias("size"))
-    # A component of one node has no size here: it is that node itself, which the pair already named.
-    asked = materialize(asked.where("size IS NOT NULL").distinct(), "asked")
-    crowd = materialize(asked.groupBy("label").agg(F.count("*").alias("n"), F.first("size").alias("size")), "crowd")
-    blocks = lambda n: F.ceil(F.col(n) / COMPARE).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    keys = ["label", "row", "column"]
-    questions = asked.join(crowd.select("label", "n"), "label").select("label", "node", own("n").alias("row"), every("size").alias("column"))
-    members = known.select("node", "label").join(crowd, "label").select("label", "node", own("size").alias("column"), every("n").alias("row"))
-    sides = []
-    for name, df in (("q", questions), ("m", members)):  # every column anew, as both sides come from the same tables
-        rows = df.select(*keys, "node").join(texts, "node")
-        sides.append(rows.select(*[F.col(c).alias(f"{name}_{c}") for c in (*keys, "node", "text")]))
-
-    def run(asked_rows: pa.Table, member_rows: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
-        sets = [[shingles(blank_words(unpack.decompress(t)), size) for t in rows[name].to_pylist()] for name, rows in (("q_text", asked_rows), ("m_text", member_rows))]
-        found = _first_links(*sets, threshold) if member_rows.num_rows else [None] * asked_rows.num_rows
-        nodes = member_rows["m_node"].to_pylist()
-        made = [(min(n, nodes[m]), max(n, nodes[m])) for n, m in zip(asked_rows["q_node"].to_pylist(), found, strict=True) if m is not None]
-        return pa.table({"a": pa.array([x for x, _ in made], pa.int64()), "b": pa.array([y for _, y in made], pa.int64())})
-
-    grouped = [side.groupBy(*[f"{name}_{k}" for k in keys]) for name, side in zip("qm", sides, strict=True)]
-    return grouped[0].cogroup(grouped[1]).applyInArrow(run, "a bigint, b bigint")
-
-
 def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of the symmetric matrix ``near`` that connect all that it connects."""
     seen = np.zeros(len(near), bool)
@@ -496,7 +497,7 @@ def _crowds(nodes: DataFrame, labels: DataFrame) -> DataFrame:
             node, label = (batch.column(k).to_numpy() for k in (0, 2))
             sketches = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(node), HASHES)
             key = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(node), 1))
-            for depth in range(DEPTHS[0]):
+            for depth in range(REGION):
                 key = (key ^ (key >> np.uint64(31))) * _M1 + sketches[:, ORDERS[:, depth]].astype(np.uint64) * _M2
             key = (key ^ (key >> np.uint64(29))).view(np.int64).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(node, TREES)), pa.array(np.repeat(label, TREES))], names=["region", "node", "label"])
@@ -555,9 +556,8 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
     """``node, label`` of all nodes that have a link, or None without candidates.
 
     Round by round: each node's best candidate; then each node's best of what is still apart and of the
-    other side's hubs; then all that remains; then nodes that stay apart against whole neighbouring
-    components; last, all nodes that share a region.  A pair is left out only where its nodes are
-    connected already, share no region or their signatures rule a link out.
+    other side's hubs; then all that remains; last, all nodes that share a region.  A pair is left out only
+    where its nodes are connected already, share no region or their signatures rule a link out.
     """
     pairs = candidates(nodes)
     if pairs.isEmpty():
@@ -568,18 +568,14 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
     links = materialize(_confirmed(_best_partners(pairs), texts, size, threshold), "confirmed")
     labels = components(links)
     left = materialize(_between(pairs, labels), "pairs-left")
-    for stage in ("best", "all", "exhaustive"):
+    for stage in ("best", "all"):
         if left.isEmpty():
             break
         if stage == "best":
             left = materialize(_alike(left, nodes), "pairs-left")
             more = _alike(_between(_through_hubs(left, links), labels), nodes)
             left = materialize(left.unionByName(more).dropDuplicates(["a", "b"]), "pairs-left")
-        if stage == "exhaustive":
-            fresh = _exhaustive(left, labels, texts, size, threshold)
-        else:
-            fresh = _confirmed(_best_partners(left) if stage == "best" else left, texts, size, threshold)
-        fresh = materialize(fresh, "confirmed")
+        fresh = materialize(_confirmed(_best_partners(left) if stage == "best" else left, texts, size, threshold), "confirmed")
         if not fresh.isEmpty():
             links = materialize(links.unionByName(fresh), "confirmed")
             labels = components(links)
@@ -589,6 +585,14 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
     return labels if fresh is None or fresh.isEmpty() else components(links.unionByName(fresh))
 
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """One row a node: its first row as ``rep``, its sketch, and whether rows with another ``check`` share its number."""
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
+    own = rows.where("node IS NOT NULL").groupBy("node")
+    nodes = own.agg(F.min(order).alias("rep"), F.first("sketch").alias("sketch"), F.min("check").alias("check"), F.max("check").alias("other"))
+    return nodes.select("node", "rep", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "sketch", "check", (F.col("check") < F.col("other")).alias("mixed"))
+
+
 def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
     """``id, text_hash, n_shingles, component_id, first`` of every row.
 
@@ -598,9 +602,14 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     docs = docs.select(id_col, text_col)
     rows = materialize(features(docs, id_col, text_col, size), "features")
-    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("rep"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes.select("node", "rep", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "sketch"), "nodes")
+    nodes = materialize(_nodes(rows), "nodes")
+    while not (mixed := nodes.where("mixed")).isEmpty():
+        # Sets of different digests fell on one number: all but one of them get a number of both halves.
+        clash = mixed.select("node", F.col("check").alias("_kept"))
+        moved = F.when(F.col("check") != F.col("_kept"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        rows = materialize(rows.join(clash, "node", "left").withColumn("node", moved).select(*rows.columns), "features")
+        nodes = materialize(_nodes(rows), "nodes")
+    nodes = nodes.select("node", "rep", "rep_id", "rep_hash", "sketch")
     labels = linked_components(docs, nodes, id_col, text_col, size, threshold)
     named = nodes.select("node", "rep")
     if labels is not None:

@@ -90,13 +90,52 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {299: 299, 300: 299}
 
 
+def paths_of(rows):
+    """Paths whose first bytes are given and whose rest differs by row."""
+    out = np.zeros((len(rows), nd.PATH_BYTES), np.uint8)
+    for n, head in enumerate(rows):
+        out[n, 7 : 7 + len(head)] = head
+        out[n, 7 + len(head) :] = n
+    return out
+
+
+def both_ways(left, right):
+    pairs = list(zip(left.tolist(), right.tolist(), strict=True))
+    return {*pairs, *((b, a) for a, b in pairs)}
+
+
 def test_pivot_follows_the_heaviest_path():
     tree = np.zeros(6, np.int32)
-    k0, k1, k2 = np.array([1] * 5 + [2]), np.array([1, 1, 1, 2, 2, 9]), np.array([1, 2, 2, 5, 5, 9])
+    paths = paths_of([(1, 1, 1, 1), (1, 1, 1, 2, 2), (1, 1, 1, 2, 2), (1, 1, 1, 5), (1, 1, 1, 6), (1, 2, 1, 1)])
     node = np.array([10, 11, 12, 13, 14, 15])
-    left, right, region, pivot, weight = nd.region_candidates(tree, [k0, k1, k2], node)
+    left, right, region, pivot, weight = nd.region_candidates(tree, paths, node)
     assert list(region) == [0] * 5 + [1] and list(pivot) == [11, 15] and len(weight) == 2
-    assert {(10, 11), (12, 11), (13, 11), (14, 11)} <= set(zip(left.tolist(), right.tolist(), strict=True)) | set(zip(right.tolist(), left.tolist(), strict=True))
+    assert {(10, 11), (12, 11), (13, 11), (14, 11), (13, 14)} <= both_ways(left, right)
+
+
+def test_depth_adapts_to_the_region(monkeypatch):
+    tree = np.zeros(4, np.int32)
+    paths = np.full((4, nd.PATH_BYTES), 9, np.uint8)
+    paths[1, 8] = 10  # agrees on the first values only, and on most of the rest
+    paths[2:, 7] = 10
+    paths[3, 8:] = 77  # agrees on the first values and nothing else
+    left, right, region, *_ = nd.region_candidates(tree, paths, np.arange(4))
+    assert both_ways(left, right) == {(0, 1), (1, 0)} and len(set(region.tolist())) == 4
+    monkeypatch.setattr(nd, "CROWD", 2)
+    crowd = paths_of([(1, 1, 1, 4)] * 3 + [(1, 1, 1, 7, k // 2) for k in range(6)])
+    pairs = both_ways(*nd.region_candidates(np.zeros(9, np.int32), crowd, np.arange(9))[:2])
+    assert {(n, n + 1) for n in range(8)} | {(n, 3) for n in range(9) if n != 3} <= pairs
+
+
+def test_sets_that_share_half_a_digest_stay_apart(spark, monkeypatch):
+    real = nd.set_digest
+    monkeypatch.setattr(nd, "set_digest", lambda h: (real(h) >> 64 << 64) | (real(h) & 3))
+    rng = random.Random(3)
+    rows = []
+    for n in range(40):
+        base = [f"g{n}w{i}" for i in range(60)]
+        rows += [(len(rows) + k, " ".join(edited(rng, base, 2 * k))) for k in range(2)]
+    assert result(nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=2)) == brute(rows, 2)
 
 
 def test_boundaries_lose_no_region(spark):
