@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,3 +96,95 @@ def hierarchy(path: Column) -> Column:
 def csv_member(csv: Column, values: list[str]) -> Column:
     """Whether comma-separated text holds one of the values, as set membership."""
     return F.arrays_overlap(F.split(csv, ","), F.array(*[F.lit(v) for v in values]))
+
+
+# ---- texts that were decoded wrongly
+
+_WRONG = {bytes([b]).decode("cp1252", "ignore") or chr(b): b for b in range(128, 256)}
+
+
+@lru_cache(maxsize=1)
+def _wrong_runs() -> re.Pattern[str]:
+    """Runs of characters that bytes of UTF-8 sequences turn into when read as Windows-1252."""
+    lead = "".join(c for c, b in _WRONG.items() if 0xC2 <= b <= 0xF4)
+    rest = "".join(c for c, b in _WRONG.items() if b < 0xC0)
+    return re.compile(f"(?:[{re.escape(lead)}][{re.escape(rest)}]{{1,3}})+")
+
+
+def repaired(text: str, passes: int = 3) -> str:
+    """Text with every run that was UTF-8 read as Windows-1252 read again, up to ``passes`` layers.
+
+    A run changes only if its bytes are valid UTF-8 and what comes out holds no control characters; the rest
+    of the text is never touched.
+    """
+
+    def again(match: re.Match[str]) -> str:
+        now = match[0]
+        for _ in range(passes):
+            try:
+                now = bytes(_WRONG[c] if c in _WRONG else ord(c) for c in now).decode()
+            except (ValueError, UnicodeDecodeError):
+                break
+            if not any(c in _WRONG for c in now):
+                break
+        return match[0] if any(unicodedata.category(c) == "Cc" for c in now) else now
+
+    for _ in range(passes):
+        done = _wrong_runs().sub(again, text)
+        if done == text:
+            return done
+        text = done
+    return text
+
+
+def repair_mojibake(text: Column) -> Column:
+    """``repaired`` over Arrow batches; ASCII texts stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else repaired(t))
+
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(run(text))
+
+
+# ---- labels and search expressions
+
+
+def fact_label(text: Column | str) -> Column:
+    """A row label without its leading number and without a formula in brackets behind it, folded to words."""
+    column = fold(text)
+    column = F.regexp_replace(column, r"^\s*(?:[ivx]+|[a-z]|\d+(?:\.\d+)*)\s*[.)/:-]+\s*", "")
+    column = F.regexp_replace(column, r"\(\s*\d+\s*=[\d\s+().-]*\)\s*$", "")
+    return F.trim(F.regexp_replace(column, r"[^a-z0-9]+", " "))
+
+
+def fact_label_segments(path: Column | str, mark: str = "›") -> Column:
+    """The labels of a path that are not empty."""
+    column = F.col(path) if isinstance(path, str) else path
+    return F.filter(F.transform(F.split(column, mark), fact_label), lambda s: s != "")
+
+
+def match_expression(terms: Column) -> Column:
+    """Terms as a search expression: each in quotes, any of them."""
+    quoted = F.transform(terms, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"')))
+    return F.nullif(F.array_join(quoted, " OR "), F.lit(""))
+
+
+def without_terms(terms: Column, dropped: Column) -> Column:
+    """Terms of a question without those of names that the filter has settled already."""
+    return F.array_except(terms, dropped)
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON object with its keys in order and nulls written out."""
+    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(F.to_json(F.array(fields[k])), F.lit("[null]"))) for k in sorted(fields)]
+    bare = [F.regexp_replace(p, r'^("[^"]*":)\[(.*)\]$', "$1$2") for p in parts]
+    return F.concat(F.lit("{"), F.concat_ws(",", *bare), F.lit("}"))
+
+
+def classify(text: Column | str, classes: list[tuple[str, tuple[str, ...]]], otherwise: str, least: int = 1) -> Column:
+    """The class most of whose phrases a folded text holds, at least ``least``; the first in order on ties."""
+    padded = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
+    scores = [(name, sum((F.contains(padded, F.lit(f" {p} ")).cast("int") for p in phrases), F.lit(0))) for name, phrases in classes]
+    best = F.greatest(*[s for _, s in scores]) if len(scores) > 1 else scores[0][1]
+    return F.coalesce(*[F.when((s == best) & (s >= least), F.lit(name)) for name, s in scores], F.lit(otherwise))

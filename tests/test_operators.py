@@ -242,3 +242,77 @@ def test_wide_table_refuses_to_drop_headers(spark, monkeypatch):
     monkeypatch.setattr(io, "WIDE_COLUMNS", 3)
     with pytest.raises(ValueError, match="more than 3"):
         io.wide_table(rows, "r", "c", "v")
+
+
+def test_fair_selection_is_the_greedy_choice(spark):
+    import random
+
+    from factloom.operators import selection as sl
+
+    rng = random.Random(3)
+    rows = [(q, rng.choice("abc"), rng.randrange(3), float(rng.randrange(20)), n) for n, q in enumerate(rng.choice([1, 2, 3]) for _ in range(90))]
+    rows += [(9, "a", 0, 1.0, 1000)]
+    df = spark.createDataFrame(rows, "question int, metric string, scope int, score double, uid int")
+    got = {}
+    for r in sl.fair_selection(df, "question", "metric", ["scope"], "score", "uid", 7).collect():
+        got.setdefault(r.question, set()).add(r.uid)
+    for question in {r[0] for r in rows}:
+        left, metrics, scopes, chosen = [r for r in rows if r[0] == question], {}, {}, set()
+        while left and len(chosen) < 7:
+            r = min(left, key=lambda r: (metrics.get(r[1], 0), scopes.get(r[2], 0), -r[3], r[4]))
+            least = min(metrics.get(x[1], 0) for x in left)
+            own = [x for x in left if metrics.get(x[1], 0) == least]
+            few = min(scopes.get(x[2], 0) for x in own)
+            assert r == min((x for x in own if scopes.get(x[2], 0) == few), key=lambda x: (-x[3], x[4]))
+            left.remove(r)
+            chosen.add(r[4])
+            metrics[r[1]] = metrics.get(r[1], 0) + 1
+            scopes[r[2]] = scopes.get(r[2], 0) + 1
+        assert got[question] == chosen
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a / b * 100", {"a", "b"}),
+        ("0 * a + b", {"b"}),
+        ("a - a + 5", set()),
+        ("b / b", set()),
+        ("pow(a, 0) + c", {"c"}),
+        ("max(a, 3) - min(b, c)", {"a", "b", "c"}),
+        ("(2 - 2) * a", set()),
+        ("0 / a", set()),
+        ("-(a)", {"a"}),
+        ("abs(3 - 5) * c", {"c"}),
+    ],
+)
+def test_effective_inputs(text, want):
+    from factloom.operators import governance as go
+
+    assert go.effective_inputs(text, "abc") == want
+
+
+@pytest.mark.parametrize("text", ["a.b", "__import__('os')", "a if b else c", "lambda: a", "x + 1", "a[0]", "'s'", "abs(x=a)", "a ="])
+def test_unsafe_expressions_fail(text):
+    from factloom.operators import formulas as fo
+    from factloom.operators import governance as go
+
+    with pytest.raises(fo.FormulaError):
+        go.effective_inputs(text, "abc")
+
+
+def test_wide_table_keeps_the_order_of_appearance(spark):
+    from factloom.sources import catalog_io as io
+
+    df = spark.createDataFrame([(1, "r", "B", 1.0), (2, "r", "A", 2.0), (3, "r", "B", 3.0), (4, "s", "C", 4.0)], "at int, row string, head string, v double")
+    wide = io.wide_table(df, "row", "head", "v", "at")
+    assert wide.columns == ["row", "B", "A", "B__2", "C"]
+    assert {tuple(r) for r in wide.collect()} == {("r", 1.0, 2.0, 3.0, None), ("s", None, None, None, 4.0)}
+
+
+def test_deep_hierarchies_keep_every_ancestor(spark):
+    from factloom.sources import html_tables as ht
+
+    df = spark.createDataFrame([(1, n, n, f"L{n}") for n in range(12)], "t int, id int, level int, label string")
+    got = {r.id: r.path for r in ht.row_hierarchy(df, ["t"], "id", "level", "label").collect()}
+    assert got[11] == " › ".join(f"L{n}" for n in range(12))

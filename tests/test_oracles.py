@@ -26,7 +26,7 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_its_sql(spark, sf_dir, duck, name):
     df = catalog.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
@@ -39,7 +39,8 @@ def test_query_matches_its_sql(spark, sf_dir, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    """All but those that take their choices one after another, which are tested against plain loops."""
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"fair_selection"}
 
 
 def test_flagship(spark, sf_dir):
