@@ -26,10 +26,9 @@ GRAMS = 3
 SAMPLE = 600
 CLUSTERS = 4
 ROUNDS = 12
-#: A text is rejected below the cosine that this share of the training texts of its band misses, less a margin;
-#: their cosines are taken to centroids of the other half.
+#: A text is rejected below the cosine that this share of the training texts of its band misses, less a margin that
+#: shrinks with the root of their number; their cosines are taken to centroids of the other half.
 MISSES = 0.004
-MARGIN = 0.98
 #: No text is accepted below this cosine, however short.
 FLOOR = 0.02
 #: Half octaves of the number of different grams, and the training texts that a band needs for a bound of its own.
@@ -127,7 +126,7 @@ def least_cosines(bands: np.ndarray, cosines: np.ndarray) -> list[float]:
         if near is None:
             out.append(out[-1] if out else 0.0)
         else:
-            out.append(MARGIN * float(np.sort(near)[int(MISSES * len(near))]))
+            out.append((1 - len(near) ** -0.5) * float(np.sort(near)[int(MISSES * len(near))]))
     return out
 
 
