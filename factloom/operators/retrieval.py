@@ -15,26 +15,42 @@ BONUSES = {"period": 0.35, "unit": 0.15, "statement": 0.10, "basis": 0.30, "code
 CLEAN_FLOOR = 0.70
 
 
-def inverted_index(df: DataFrame, uid: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
-    """``uid, length, field, term, tf``: one row per term of a field, with the tokens of all fields of its document.
+#: Query terms that are looked for inside each document's tokens; more of them meet the postings in a join.
+LITERAL_TERMS = 2_000
+
+
+def tokenized(df: DataFrame, uid: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
+    """``uid, length, f0, f1, ..``: every text tokenised once, its length in tokens and the tokens of each field.
 
-    Every text is tokenised once; stored, this table serves any number of searches.  For a single search,
-    ``only`` (a table of ``term``) keeps other terms from being counted and shuffled.
+    For a single search, ``only`` (a table of ``term``) leaves other terms out where it is small.  What is
+    stored or held of this serves both the index and the size of the corpus.
     """
-    split = df.select(F.col(uid).alias("uid"), *[tx.words(f).alias(f"_{n}") for n, f in enumerate(fields)])
-    sizes = [F.coalesce(F.size(f"_{n}"), F.lit(0)) for n in range(len(fields))]
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{n}").alias("words")) for n, f in enumerate(fields)])
-    per_field = split.select("uid", sum(sizes[1:], sizes[0]).alias("length"), F.inline(rows))
-    terms = per_field.select("uid", "length", "field", F.explode("words").alias("term"))
+    terms = None
     if only is not None:
-        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
+        found = only.select("term").distinct().limit(LITERAL_TERMS + 1).collect()
+        terms = [r.term for r in found] if len(found) <= LITERAL_TERMS else None
+    kept = lambda w: w if terms is None else F.filter(w, lambda x: x.isin(terms) if terms else F.lit(False))
+    once = lambda f: F.get(F.transform(F.array(tx.words(f)), lambda w: F.struct(F.coalesce(F.size(w), F.lit(0)).alias("n"), kept(w).alias("w"))), F.lit(0))
+    split = df.select(F.col(uid).alias("uid"), *[once(f).alias(f"_{n}") for n, f in enumerate(fields)])
+    sizes = [F.coalesce(F.col(f"_{n}.n"), F.lit(0)) for n in range(len(fields))]
+    return split.select("uid", sum(sizes[1:], sizes[0]).alias("length"), *[F.col(f"_{n}.w").alias(f"f{n}") for n in range(len(fields))])
+
+
+def postings(tokens: DataFrame, fields: list[str]) -> DataFrame:
+    """``uid, length, field, term, tf``: one row per term of a field, with the tokens of all fields of its document."""
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f{n}").alias("words")) for n, f in enumerate(fields)])
+    terms = tokens.select("uid", "length", F.inline(rows)).select("uid", "length", "field", F.explode("words").alias("term"))
     return terms.groupBy("uid", "length", "field", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_size(df: DataFrame, fields: list[str]) -> DataFrame:
+def inverted_index(df: DataFrame, uid: str, fields: list[str], only: DataFrame | None = None) -> DataFrame:
+    """The postings of a table; stored, they serve any number of searches."""
+    return postings(tokenized(df, uid, fields, only), fields)
+
+
+def corpus_size(tokens: DataFrame) -> DataFrame:
     """``total, mean``: number of documents and their mean length in tokens."""
-    sizes = [F.coalesce(F.size(tx.words(f)), F.lit(0)) for f in fields]
-    return df.select(sum(sizes[1:], sizes[0]).alias("length")).agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
+    return tokens.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
 
 
 def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, weights: dict[str, float]) -> DataFrame:

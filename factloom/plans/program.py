@@ -255,6 +255,8 @@ class Program:
                 made = OPERATIONS[node.operation]([done[i] for i in node.inputs], node.parameters)
             if node.operation in ("facts", "formula") and (entities := node.parameters.get("entities")):
                 made = made.where(F.col("entity").isin(entities))
+            if node.operation in ("facts", "formula") and (years := node.parameters.get("years")):
+                made = made.where(F.col("period").isin(years))
             done[node.id] = made
         return done[self.nodes[-1].id]
 

@@ -537,7 +537,8 @@ BM25_SQL = (
 def _scores(spark, sf_dir):
     docs = tb.table(spark, sf_dir, "documents").select("doc_id", "text")
     queries = spark.createDataFrame(TERMS, "query_id string, term string")
-    return re_.bm25(re_.inverted_index(docs, "doc_id", ["text"], queries), re_.corpus_size(docs, ["text"]), queries, {"text": 1.0})
+    tokens = re_.tokenized(docs, "doc_id", ["text"], queries).persist()  # every text is tokenised once
+    return re_.bm25(re_.postings(tokens, ["text"]), re_.corpus_size(tokens), queries, {"text": 1.0})
 
 
 @query(BM25_SQL + " select query_id, uid, round(score, 6) as score from s")
@@ -553,10 +554,10 @@ def bm25_search(spark, sf_dir):
 )
 def score_normalize(spark, sf_dir):
     scores = _scores(spark, sf_dir).withColumn("score", F.round("score", 4))
-    out = re_.normalized(scores, "query_id").select("query_id", "uid", F.round("normal", 6).alias("minmax"))
-    for kind, name in (("rank", "ranked"), ("max", "maxed")):
-        out = out.join(re_.normalized(scores, "query_id", kind).select("query_id", "uid", F.round("normal", 6).alias(name)), ["query_id", "uid"])
-    return out
+    out = scores
+    for kind, name in (("minmax", "minmax"), ("rank", "ranked"), ("max", "maxed")):
+        out = re_.normalized(out, "query_id", kind).withColumn(name, F.round("normal", 6)).drop("normal")
+    return out.select("query_id", "uid", "minmax", "ranked", "maxed")
 
 
 @query(

@@ -22,7 +22,7 @@ SPAN = "(select min(period) as y0, max(period) as y1 from w)"
 
 def spanned(df: DataFrame) -> tuple[DataFrame, int, int]:
     """A series, held so that it is computed once, with its first and last period (two numbers)."""
-    held = df.persist()
+    held = tb.held(df)
     return held, *held.agg(F.min("period"), F.max("period")).first()
 
 

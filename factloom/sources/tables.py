@@ -42,6 +42,16 @@ def wide_facts(spark: SparkSession, sf_dir: str, metrics: list[str], entity: str
     return joined.groupBy("entity", "period").agg(*[F.sum(m).alias(m) for m in metrics])
 
 
+#: Rows of facts that one task may hold.
+HELD_ROWS = 200_000
+
+
+def held(facts: DataFrame) -> DataFrame:
+    """Facts that are computed once for several uses; few enough of them, by count, stay in one partition and need no more exchanges."""
+    kept = facts.persist()
+    return kept.coalesce(1) if kept.count() <= HELD_ROWS else kept
+
+
 def facts(spark: SparkSession, sf_dir: str, metrics: list[str], entity: str = "nation") -> DataFrame:
     """The long form: ``entity, period, metric_id, value, dimension, scale, currency``."""
     wide = wide_facts(spark, sf_dir, metrics, entity)
