@@ -239,8 +239,9 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Store every text as a transport stream and read it back.
 
     Returns one row per input row: ``id, n_bytes, payload, media, stamps, random_access, feature``.
-    A null text is the empty text and gives one frame of padding; repeated rows give equal
-    results; an empty table gives an empty table; a null id stays null; other columns are left out.
+    A null text is the empty text and gives one frame of padding; very long texts are stored whole, a few
+    rows at a time; there are no ties, as rows don't meet; repeated rows give equal results; an empty table
+    gives an empty table; a null id stays null; other columns are left out, so names cannot clash.
     """
     schema = "id bigint, n_bytes bigint, payload binary, media binary, stamps array<bigint>, random_access array<bigint>, feature string"
 

@@ -1,9 +1,7 @@
 """Licence scan, token counts, decontamination and media against brute force."""
 
-import hashlib
 import random
 import re
-import zlib
 
 import pytest
 
@@ -141,6 +139,82 @@ def test_media_round_trip(spark, odd_rows):
         assert all(r.media[at] == media.SYNC for at in r.random_access)
 
 
+def bits(data, at, n):
+    """``n`` bits of a packet from bit ``at`` on, as a number."""
+    return int("".join(f"{b:08b}" for b in data)[at : at + n], 2)
+
+
+def crc_bit_by_bit(data):
+    register = [1] * 32
+    for byte in data:
+        for k in range(7, -1, -1):
+            turn = register.pop(0) ^ (byte >> k & 1)
+            register.append(0)
+            register = [r ^ (turn & p) for r, p in zip(register, map(int, f"{0x04C11DB7:032b}"), strict=True)]
+    return register
+
+
+def demuxed(stream):
+    """Payload, stamps, clocks and flagged frames of a transport stream, read bit by bit and without the operator's reader."""
+    assert len(stream) % 188 == 0
+    counters, sections, units, marks = {}, {}, [], []
+    pmt = es = None
+    for at in range(0, len(stream), 188):
+        packet = stream[at : at + 188]
+        assert bits(packet, 0, 8) == 0x47 and bits(packet, 8, 1) == 0 and bits(packet, 24, 2) == 0
+        starts, pid, control, counter = bits(packet, 9, 1), bits(packet, 11, 13), bits(packet, 26, 2), bits(packet, 28, 4)
+        assert control in (1, 3) and counters.setdefault(pid, counter) == counter
+        counters[pid] = (counter + 1) % 16
+        rest, flagged, clock = packet[4:], 0, None
+        if control == 3:
+            size = rest[0]
+            field, rest = rest[1 : 1 + size], rest[1 + size :]
+            if size:
+                flagged = bits(field, 1, 1)
+                used = 1
+                if bits(field, 3, 1):
+                    clock = bits(field, 8, 33) * 300 + bits(field, 47, 9)
+                    used += 6
+                assert set(field[used:]) <= {0xFF}
+        if pid == 0 or pid == pmt:
+            assert starts
+            section = rest[1 + rest[0] :]
+            size = bits(section, 12, 12) + 3
+            section, filler = section[:size], section[size:]
+            assert not any(crc_bit_by_bit(section)) and set(filler) <= {0xFF}
+            if pid == 0:
+                assert section[0] == 0 and bits(section, 64, 16) == 1
+                pmt = bits(section, 83, 13)
+            else:
+                assert section[0] == 2 and section[12] == 0x06
+                es = bits(section, 107, 13)
+        elif pid == es:
+            if starts:
+                units.append(b"")
+                marks.append((at, flagged, clock))
+            units[-1] += rest
+    payload, stamps = b"", []
+    for unit in units:
+        assert unit[:4] == b"\x00\x00\x01\xbd" and int.from_bytes(unit[4:6], "big") == len(unit) - 6
+        assert bits(unit, 48, 2) == 2 and bits(unit, 56, 2) == 2 and unit[8] == 5
+        assert [bits(unit, 72, 4), bits(unit, 79, 1), bits(unit, 95, 1), bits(unit, 111, 1)] == [2, 1, 1, 1]
+        stamps.append(bits(unit, 76, 3) << 30 | bits(unit, 80, 15) << 15 | bits(unit, 96, 15))
+        payload += unit[14:]
+    return payload, stamps, marks
+
+
+@pytest.mark.parametrize("size", [0, 1, 576, 577, 12_000])
+def test_streams_by_an_independent_demuxer(spark, size):
+    text = "".join(chr(97 + n * 7 % 26) for n in range(size))
+    row = media.media_columns(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    payload, stamps, marks = demuxed(bytes(row.media))
+    assert payload == bytes(row.payload) == text.encode().ljust(max(1, -(-size // 576)) * 576, b"\xff")
+    assert stamps == row.stamps == [n * 576 * 90_000 // 8_000 for n in range(len(payload) // 576)]
+    assert [at for at, flagged, _ in marks if flagged] == row.random_access
+    assert [clock for _, flagged, clock in marks if flagged] == [300 * s for s in stamps[::16]]
+    assert all((clock is not None) == bool(flagged) for _, flagged, clock in marks)
+
+
 def test_media_reader_reports_damage():
     stream = media.write_stream(media.padded(b"abc" * 2000))
     lost = stream[: 188 * 5] + stream[188 * 6 :]
@@ -149,4 +223,3 @@ def test_media_reader_reports_damage():
     bad = bytearray(stream)
     bad[20] ^= 1
     assert media.read_stream(bytes(bad)).bad_tables == 1
-    assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest() == dc.digest_of([])
