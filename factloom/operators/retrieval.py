@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as tx
 
 K1, B = 1.2, 0.75
-#: Bonus of each structural hit, and the multiplier of cards with few clean cells.
+#: Bonus of each structural hit, and the multiplier of cards with few clean cells.
 BONUSES = {"period": 0.35, "unit": 0.15, "statement": 0.10, "basis": 0.30, "code": 0.45}
 CLEAN_FLOOR = 0.70
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import fact_queries, program_queries, series_queries, source_queries, table_queries
+from factloom.plans import fact_queries, program_queries, record_queries, series_queries, source_queries, table_queries
 from factloom.plans.registry import Query
 
-MODULES = (series_queries, table_queries, program_queries, source_queries, fact_queries)
+MODULES = (series_queries, table_queries, program_queries, source_queries, fact_queries, record_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
