@@ -4,12 +4,13 @@ Documents with equal shingle sets, named by 128-bit digests, are one node.  Ever
 all nodes by its own order of minhash values, so the neighbours of a node are those with the longest
 common prefix.  Nodes that share ``REGION`` values form a region, and the depth at which they are looked
 at adapts to it: where a region is sparse, a neighbour counts from ``SHALLOW`` values on if the rest of
-the order agrees too; where it is crowded, it is followed as deep as it stays crowded, and a node's
-candidates are its neighbours, the node at the end of the region's heaviest path, and that of the first
-deeper region that is no longer crowded.  So candidates grow with the nodes and not with the pairs of a
-region.  Candidates are confirmed on full shingle sets in rounds that skip what is connected already.
-Last, whole regions are compared block by block, by signatures and then by shingles, so that a link
-between two nodes of a crowd is found also where no tree made them candidates.
+the order agrees too; where it is crowded, it is followed as deep as it stays crowded.  A node's candidates
+are its neighbours and the pivot of its region, the node at the end of the heaviest path; in a crowd the
+pivot of the first deeper region that is none, and these pivots meet the whole region's.  So candidates
+grow with the nodes and not with the pairs of a region.  Candidates are confirmed on full shingle sets in
+rounds that skip what is connected already.  Last, whole regions are compared block by block, by signatures
+and then by shingles, so that a link between two nodes of a crowd is found also where no tree made them
+candidates.
 """
 
 from __future__ import annotations
@@ -180,8 +181,8 @@ def _heaviest(parent: np.ndarray, size: np.ndarray) -> np.ndarray:
     return order[_starts(parent[order])]
 
 
-def region_candidates(tree: np.ndarray, paths: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs of sorted rows, and each row's region, the regions' pivots and their weights.
+def region_candidates(tree: np.ndarray, paths: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of sorted rows, each row's region, the regions' pivots and weights, and the rows that stand for their region.
 
     A pivot is the row at the end of the path that takes the largest branch at every depth, followed while
     it has more than one row.
@@ -217,18 +218,24 @@ def region_candidates(tree: np.ndarray, paths: np.ndarray, node: np.ndarray) ->
     agree = same[sparse, 8:].sum(axis=1) >= SPARSE_LEAST
     for rows in (close, sparse[agree]):
         pair(node[rows], node[rows + 1])
-    pair(node, pivot[region])
-    # In a crowd also the pivot of the first deeper region that is none.
-    open_rows = np.flatnonzero(sizes[0][region] > CROWD)
+    crowded = sizes[0][region] > CROWD
+    pair(node[~crowded], pivot[region[~crowded]])
+    # In a crowd the pivot of the first deeper region that is none; these meet the pivot of the whole.
+    open_rows = np.flatnonzero(crowded)
+    handed = ~crowded
     for level in range(1, len(starts)):
         if not len(open_rows):
             break
         own = (np.cumsum(starts[level]) - 1)[open_rows]
         settled = (sizes[level][own] <= CROWD) | (level == len(starts) - 1)
-        pair(node[open_rows[settled]], node[leads[level][own[settled]]])
+        lead = leads[level][own[settled]]
+        pair(node[open_rows[settled]], node[lead])
+        handed[lead] = True
         open_rows = open_rows[~settled]
+    heads = np.flatnonzero(handed & crowded)
+    pair(node[heads], pivot[region[heads]])
     empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right]), region, pivot, weights[0]
+    return np.concatenate([empty, *left]), np.concatenate([empty, *right]), region, pivot, weights[0], handed
 
 
 def _region_keys(paths: np.ndarray) -> np.ndarray:
@@ -255,7 +262,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             return
         tree, node = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("tree", "node"))
         paths = np.concatenate([np.frombuffer(b"".join(b.column("path").to_pylist()), np.uint8) for b in parts]).reshape(len(node), PATH_BYTES)
-        left, right, region, pivot, weight = region_candidates(tree, paths, node)
+        left, right, region, pivot, weight, handed = region_candidates(tree, paths, node)
         low, high = np.minimum(left, right), np.maximum(left, right)
         if len(low):
             order = np.lexsort((high, low))
@@ -263,7 +270,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             new = np.flatnonzero(_starts(low, high))
             votes = np.diff(np.append(new, len(low)))
             yield _candidate_batch(low[new], high[new], votes)
-        ends = np.flatnonzero((region == region[0]) | (region == region[-1]))
+        ends = np.flatnonzero(((region == region[0]) | (region == region[-1])) & handed)
         keys = _region_keys(paths[ends])
         for start in range(0, len(ends), 10_000):
             own = ends[start : start + 10_000]

@@ -108,7 +108,7 @@ def test_pivot_follows_the_heaviest_path():
     tree = np.zeros(6, np.int32)
     paths = paths_of([(1, 1, 1, 1), (1, 1, 1, 2, 2), (1, 1, 1, 2, 2), (1, 1, 1, 5), (1, 1, 1, 6), (1, 2, 1, 1)])
     node = np.array([10, 11, 12, 13, 14, 15])
-    left, right, region, pivot, weight = nd.region_candidates(tree, paths, node)
+    left, right, region, pivot, weight, _ = nd.region_candidates(tree, paths, node)
     assert list(region) == [0] * 5 + [1] and list(pivot) == [11, 15] and len(weight) == 2
     assert {(10, 11), (12, 11), (13, 11), (14, 11), (13, 14)} <= both_ways(left, right)
 
@@ -123,8 +123,9 @@ def test_depth_adapts_to_the_region(monkeypatch):
     assert both_ways(left, right) == {(0, 1), (1, 0)} and len(set(region.tolist())) == 4
     monkeypatch.setattr(nd, "CROWD", 2)
     crowd = paths_of([(1, 1, 1, 4)] * 3 + [(1, 1, 1, 7, k // 2) for k in range(6)])
-    pairs = both_ways(*nd.region_candidates(np.zeros(9, np.int32), crowd, np.arange(9))[:2])
-    assert {(n, n + 1) for n in range(8)} | {(n, 3) for n in range(9) if n != 3} <= pairs
+    left, right, *_, handed = nd.region_candidates(np.zeros(9, np.int32), crowd, np.arange(9))
+    assert {(n, n + 1) for n in range(8)} | {(n, 3) for n in (0, 1, 2, 5, 7)} <= both_ways(left, right)
+    assert np.flatnonzero(handed).tolist() == [0, 1, 2, 3, 5, 7]
 
 
 def test_sets_that_share_half_a_digest_stay_apart(spark, monkeypatch):
