@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, language_id, line_dedup, near_dedup, packing
-from factloom.llm.common import materialize
+from factloom.llm.common import materialize, release, settled, written
 from factloom.llm.queries import TOKENIZER
 
 #: The stages' decisions rest on fitted centroids, signatures and a tokenizer, which SQL can't express.
@@ -98,8 +98,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written and read again, and what led to it removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before_last: tuple[str, ...] = ()
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = written()
+        docs = settled(stage(spark, docs, sf_dir), name, before)
+        release(spark, *before_last)
+        before_last = (docs._written_path,)
     return docs
