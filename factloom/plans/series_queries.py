@@ -51,7 +51,7 @@ def scope_hard_filter(spark, sf_dir):
 def _arithmetic(operation, left, right, sql, dimension, name):
     @query(f"{W} select entity, period, round({sql}, 6) as value, '{dimension}' as dimension, 'OK' as status from w", name=name)
     def run(spark, sf_dir):
-        a, b = tb.series(spark, sf_dir, left), tb.series(spark, sf_dir, right)
+        a, b = tb.several(spark, sf_dir, left, right)
         return rounded(se.arithmetic(a, b, operation).drop("reason"), digits=6)
 
 
@@ -63,13 +63,13 @@ _arithmetic("divide", "revenue", "orders", "revenue / orders", "money", "arith_d
 
 @query(f"{W} select entity, period, round((revenue / gross) * returned, 4) as value, 'money' as dimension, 'OK' as status from w")
 def arith_multiply(spark, sf_dir):
-    share = se.arithmetic(tb.series(spark, sf_dir, "revenue"), tb.series(spark, sf_dir, "gross"), "divide")
+    share = se.arithmetic(*tb.several(spark, sf_dir, "revenue", "gross"), "divide")
     return rounded(se.arithmetic(share, tb.series(spark, sf_dir, "returned"), "multiply").drop("reason"))
 
 
 @query(f"{W} select entity, period, cast(null as double) as value, 'ABSTAIN' as status, 'DIMENSION_MISMATCH' as reason from w")
 def arith_dimension_mismatch(spark, sf_dir):
-    out = se.arithmetic(tb.series(spark, sf_dir, "revenue"), tb.series(spark, sf_dir, "orders"), "add")
+    out = se.arithmetic(*tb.several(spark, sf_dir, "revenue", "orders"), "add")
     return out.select("entity", "period", "value", "status", "reason")
 
 
@@ -249,7 +249,8 @@ def entity_difference(spark, sf_dir):
     "(select entity, revenue as value, 'money' as dimension from w union all select entity, quantity, 'count' from w where entity < 'NATION_2') group by entity"
 )
 def agg_mixed_dimensions(spark, sf_dir):
-    df = tb.series(spark, sf_dir, "revenue").unionByName(tb.series(spark, sf_dir, "quantity").where("entity < 'NATION_2'"))
+    revenue, quantity = tb.several(spark, sf_dir, "revenue", "quantity")
+    df = revenue.unionByName(quantity.where("entity < 'NATION_2'"))
     return rounded(ag.aggregate(df, "sum", ["entity"]).select("entity", "value", "reason"), digits=2)
 
 
@@ -436,9 +437,9 @@ def quantified_all_any(spark, sf_dir):
 
 @query(f"{W} select entity, period, margin > returned - gross / 4 as flag from w")
 def compare_elementwise(spark, sf_dir):
-    gross = se.negate(tb.series(spark, sf_dir, "gross")).withColumn("value", F.col("value") / 4)
-    right = se.arithmetic(tb.series(spark, sf_dir, "returned"), gross, "add")
-    return pr.compare_series(tb.series(spark, sf_dir, "margin"), right, "gt", ["entity", "period"])
+    gross, returned, margin = tb.several(spark, sf_dir, "gross", "returned", "margin")
+    right = se.arithmetic(returned, se.negate(gross).withColumn("value", F.col("value") / 4), "add")
+    return pr.compare_series(margin, right, "gt", ["entity", "period"])
 
 
 @query(f"{W} select entity, period, margin = 0 as zero, margin <> 0 as nonzero from w")

@@ -72,8 +72,17 @@ def facts(spark: SparkSession, sf_dir: str, metrics: list[str], entity: str = "n
 
 def series(spark: SparkSession, sf_dir: str, metric: str, entity: str = "nation") -> DataFrame:
     """One metric as ``entity, period, value, dimension, scale, currency``; only its columns are read."""
+    return _as_series(wide_facts(spark, sf_dir, [metric], entity), metric)
+
+
+def several(spark: SparkSession, sf_dir: str, *metrics: str, entity: str = "nation") -> list[DataFrame]:
+    """Several metrics as series of one scan, whose result is held."""
+    wide = held(wide_facts(spark, sf_dir, sorted(set(metrics)), entity))
+    return [_as_series(wide, m) for m in metrics]
+
+
+def _as_series(wide: DataFrame, metric: str) -> DataFrame:
     dimension, scale, currency, _ = METRICS[metric]
-    wide = wide_facts(spark, sf_dir, [metric], entity)
     return wide.select(
         "entity",
         "period",
