@@ -59,8 +59,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns ``id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``: places of the
     phrases (number, smallest and largest start), distinct sorted labels of the phrases and of all verified
     spans, the best coverage of a template, and the verified spans.  Null and empty texts have no words and
-    no labels; texts of fewer than three words have no spans; every input row gives one result, repeated ones
-    too; an empty table gives an empty table; other columns are left out.
+    no labels; texts of fewer than three words have no spans; very long texts are scanned whole; of equal covers
+    all labels stand, sorted; every input row gives one result, repeated ones too; an empty table gives an empty
+    table; other columns are left out, so names cannot clash.
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())

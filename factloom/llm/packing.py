@@ -80,8 +80,9 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """``id, piece, start, length, ids_crc32`` (and the token ids, if asked for) of every text's pieces.
 
-    A null or empty text is the end token alone; repeated rows give repeated pieces; an empty table
-    gives an empty table; other columns are left out.
+    A null or empty text is the end token alone; a very long text gives as many pieces as it takes; repeated
+    rows give repeated pieces; an empty table gives an empty table; other columns are left out, so names cannot
+    clash.
     """
 
     def run(batches):
@@ -216,8 +217,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with ``id, piece, start, length``) and for each its ``sequence_id`` and gapless ``offset``.
 
-    Every row is placed once, repeated rows and rows with null ids too; an empty table gives an empty
-    table.  Pieces are written to the shared folder once; what goes to the driver and back out is the
+    Every row is placed once, repeated rows and rows with null ids too; pieces of equal length, id and number
+    take any order; an empty table gives an empty table.  Pieces are written to the shared folder once; what goes to the driver and back out is the
     histogram of at most ``capacity`` lengths and the plan made from it.
     """
     rows = materialize(pieces, "pieces")

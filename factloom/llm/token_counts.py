@@ -114,8 +114,9 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """``id, n_bytes, n_words, n_tokens, max_word_tokens`` of every text.
 
     Words are runs of anything but ASCII white space, and a blank is put before each as the mark of
-    a word's start.  A null or empty text has no words and counts of 0; repeated rows give repeated
-    results; an empty table gives an empty table; other columns are left out.
+    a word's start.  A null or empty text has no words and counts of 0; very long texts are counted whole; the
+    longest match leaves no ties; repeated rows give repeated results; an empty table gives an empty table; other
+    columns are left out, so names cannot clash.
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
