@@ -394,7 +394,7 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _through_hubs(left: DataFrame, links: DataFrame) -> DataFrame:
-    """For pairs still apart, each side with the other side's most linked neighbour: new candidates."""
+    """For each node's best pair still apart, each side with the other side's most linked neighbour: new candidates."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = materialize(both.groupBy("a").agg(F.count("*").alias("degree")), "degrees")
     known = both.join(degree.withColumnRenamed("a", "b"), "b")
@@ -580,13 +580,14 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
             break
         if stage == "best":
             left = materialize(_alike(left, nodes), "pairs-left")
-            more = _alike(_between(_through_hubs(left, links), labels), nodes)
+            more = _alike(_between(_through_hubs(_best_partners(left), links), labels), nodes)
             left = materialize(left.unionByName(more).dropDuplicates(["a", "b"]), "pairs-left")
         fresh = materialize(_confirmed(_best_partners(left) if stage == "best" else left, texts, size, threshold), "confirmed")
         if not fresh.isEmpty():
             links = materialize(links.unionByName(fresh), "confirmed")
             labels = components(links)
-            left = materialize(_between(left, labels), "pairs-left")
+            if stage == "best":
+                left = materialize(_between(left, labels), "pairs-left")
     fresh = _crowd_links(nodes, labels, texts, size, threshold)
     fresh = None if fresh is None else materialize(fresh, "confirmed")
     return labels if fresh is None or fresh.isEmpty() else components(links.unionByName(fresh))
