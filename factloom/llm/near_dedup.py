@@ -320,6 +320,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_components(labels: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``node, label`` after more links ``(a, b)``: only the components that they join are labelled anew."""
+    one = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    two = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    named = fresh.select("a", "b").join(one, "a", "left").join(two, "b", "left")
+    edges = named.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    roots = components(edges)
+    moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+    known = moved.select("node", F.coalesce("root", "label").alias("label"))
+    return materialize(known.unionByName(roots.join(labels, "node", "left_anti").select("node", "label")), "labels")
+
+
 def _packed_texts(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``node, text`` (compressed) of one document of each node in ``reps (id, node)``."""
 
@@ -584,13 +596,12 @@ def linked_components(docs: DataFrame, nodes: DataFrame, id_col: str, text_col:
             left = materialize(left.unionByName(more).dropDuplicates(["a", "b"]), "pairs-left")
         fresh = materialize(_confirmed(_best_partners(left) if stage == "best" else left, texts, size, threshold), "confirmed")
         if not fresh.isEmpty():
-            links = materialize(links.unionByName(fresh), "confirmed")
-            labels = components(links)
+            labels = joined_components(labels, fresh)
             if stage == "best":
                 left = materialize(_between(left, labels), "pairs-left")
     fresh = _crowd_links(nodes, labels, texts, size, threshold)
     fresh = None if fresh is None else materialize(fresh, "confirmed")
-    return labels if fresh is None or fresh.isEmpty() else components(links.unionByName(fresh))
+    return labels if fresh is None or fresh.isEmpty() else joined_components(labels, fresh)
 
 
 def _nodes(rows: DataFrame) -> DataFrame:

@@ -90,6 +90,16 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {299: 299, 300: 299}
 
 
+def test_more_links_join_components_as_all_links_do(spark):
+    rng = random.Random(5)
+    first = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    fresh = [(rng.randrange(90), rng.randrange(90)) for _ in range(25)]
+    table = lambda rows: spark.createDataFrame([(min(r), max(r)) for r in rows if r[0] != r[1]], "a bigint, b bigint")
+    want = {r.node: r.label for r in nd.components(table(first + fresh)).collect()}
+    got = nd.joined_components(nd.components(table(first)), table(fresh)).collect()
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+
+
 def paths_of(rows):
     """Paths whose first bytes are given and whose rest differs by row."""
     out = np.zeros((len(rows), nd.PATH_BYTES), np.uint8)
