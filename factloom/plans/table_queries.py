@@ -47,7 +47,11 @@ def previous_row_lookup(spark, sf_dir):
     "select e.event_id, s.span_id from events e join s on e.user_id = s.user_id and epoch(e.ts)::bigint >= s.a and epoch(e.ts)::bigint < s.b"
 )
 def interval_join(spark, sf_dir):
-    events = tb.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_timestamp("ts").alias("at"))
+    # Seconds are rounded as the SQL's cast does, half to even, on the wall clock of no time zone.
+    since = "cast(ts as timestamp_ntz) - timestamp_ntz'1970-01-01'"
+    parts = " + ".join(f"extract({unit} from {since}) * {n}" for unit, n in (("day", 86400), ("hour", 3600), ("minute", 60), ("second", 1)))
+    seconds = F.rint(F.expr(parts).cast("double")).cast("bigint")
+    events = tb.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", seconds.alias("at"))
     spans = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("span_id"), F.col("at").alias("a"), (F.col("at") + 7200).alias("b"))
     return jo.interval_join(events.select("event_id", "user_id", "at"), spans, "user_id", "at", "a", "b", 7200).select("event_id", "span_id")
 
