@@ -295,31 +295,57 @@ def _candidate_batch(a, b, votes, tree=None, k0=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "votes", "tree", "k0"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, label`` of all nodes in ``links (a, b)``: the smallest node reachable.
+def _hooked(edges: DataFrame) -> DataFrame:
+    """``node, label`` of all nodes in ``edges (a, b)``: trees of two nodes or more, named by their roots.
 
-    Labels fall to the neighbours' minimum and then jump to their label's label until nothing changes, so
-    the rounds grow with the logarithm of a component's diameter; minima are pre-aggregated, so no
-    neighbourhood is ever collected.
+    Each node points to its smallest neighbour.  Two nodes that point to each other are the only cycles, and
+    the smaller is a root; the others jump to what they point to until all point to roots, so the rounds grow
+    with the logarithm of a tree's depth.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, "links")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
-    held = labels._written_path
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nearest = both.groupBy("a").agg(F.min("b").alias("b"))
+    back = nearest.select(F.col("a").alias("b"), F.col("b").alias("back"))
+    root = (F.col("back") == F.col("a")) & (F.col("a") < F.col("b"))
+    labels = materialize(nearest.join(back, "b").select(F.col("a").alias("node"), F.when(root, F.col("a")).otherwise(F.col("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("low"))
-        fallen = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "low").alias("next"))
-        target = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        jumped = fallen.join(target, "next", "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("jump", "next")).alias("label"))
-        jumped = materialize(jumped, "labels")
-        release(links.sparkSession, held)  # the round before is read no more
-        held = jumped._written_path
-        labels = jumped.select("node", "label")
+        held = labels._written_path
+        target = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = materialize(labels.join(target, "label").select("node", F.col("label").alias("old"), F.col("next").alias("label")), "labels")
+        release(edges.sparkSession, held)  # the round before is read no more
+        labels = jumped
         if jumped.where("old <> label").isEmpty():
-            release(links.sparkSession, both._written_path)
             return labels
 
 
+def components(links: DataFrame) -> DataFrame:
+    """``node, label`` of all nodes in ``links (a, b)``: the smallest node reachable.
+
+    Trees are contracted to their roots, and only the different links that remain between roots go on, so
+    links are joined with labels once and not in every round; each contraction at least halves the nodes.
+    """
+    spark = links.sparkSession
+    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    trees, held = [], [edges._written_path]
+    while not trees or not edges.isEmpty():
+        labels = _hooked(edges)
+        trees.append(labels.select("node", "label"))
+        named = edges
+        for side in ("a", "b"):
+            own = labels.select("node", F.col("label").alias("root"))
+            named = named.join(own, named[side] == own.node).withColumn(side, F.col("root")).select("a", "b")
+        named = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = materialize(named.distinct(), "links")
+        held += [labels._written_path, edges._written_path]
+    roots = trees[0]
+    for tree in trees[1:]:
+        above = tree.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        roots = roots.join(above, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    low = roots.groupBy("label").agg(F.min("node").alias("low"))
+    labels = materialize(roots.join(low, "label").select("node", F.col("low").alias("label")), "labels")
+    release(spark, *held)
+    return labels
+
+
 def joined_components(labels: DataFrame, fresh: DataFrame) -> DataFrame:
     """``node, label`` after more links ``(a, b)``: only the components that they join are labelled anew."""
     one = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))

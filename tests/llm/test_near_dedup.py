@@ -90,6 +90,50 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {299: 299, 300: 299}
 
 
+def join_rows(spark, since):
+    """Rows that all joins of executions after ``since`` put out, and the last execution."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    made, last = 0, since
+    listed = store.executionsList()
+    for one in (listed.apply(k) for k in range(listed.size())):
+        at = one.executionId()
+        last = max(last, at)
+        if at <= since:
+            continue
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made, last
+
+
+def test_a_dense_crowd_is_joined_with_labels_once(spark):
+    rng = random.Random(8)
+    links = list({tuple(sorted(rng.sample(range(400), 2))) for _ in range(6000)})
+    _, since = join_rows(spark, -1)
+    got = {r.node: r.label for r in nd.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys(range(400), 0)
+    made, _ = join_rows(spark, since)
+    assert 2 * len(links) <= made < 3 * len(links)
+
+
+def test_components_of_random_links(spark):
+    """Sparse and dense parts, stars around their largest node, loops and links given twice and both ways."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        links = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)] + [(1000 + k, 2000) for k in range(50)] + [(7, 7), (9000, 9000)]
+        links += [(b, a) for a, b in links[:20]] + links[:20]
+        low = {n: n for link in links for n in link if link[0] != link[1]}
+        for _ in low:
+            for a, b in links:
+                if a != b:
+                    low[a] = low[b] = min(low[a], low[b])
+        got = nd.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+        assert {r.node: r.label for r in got} == low and len(got) == len(low)
+    assert nd.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
 def test_more_links_join_components_as_all_links_do(spark):
     rng = random.Random(5)
     first = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
