@@ -7,11 +7,15 @@ comparing every candidate with every other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def star(observations: DataFrame, readiness: DataFrame, tables: DataFrame, documents: DataFrame, cards: DataFrame | None = None) -> DataFrame:
@@ -125,31 +129,97 @@ def fair_selection(df: DataFrame, question: str, metric: str, scope: list[str],
     """At most ``limit`` facts of every question, max-min fair over metrics, then over scopes, then by score.
 
     The next fact is always one of a metric served least so far, of these one of a scope served least, of
-    these the best; a question's candidates meet in one task, as each choice depends on all before.
+    these the best, the smallest id on ties; a question's candidates meet in one task, as each choice depends
+    on all before, and the questions of a task take their turns together.
     """
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, uid], ascending=[False, True], kind="stable").reset_index(drop=True)
-        metrics, scopes = rows[metric].tolist(), list(map(tuple, rows[scope].itertuples(index=False)))
-        waiting: dict[object, dict[tuple, list[int]]] = {}
-        for n in range(len(rows) - 1, -1, -1):
-            waiting.setdefault(metrics[n], {}).setdefault(scopes[n], []).append(n)
-        by_metric, by_scope, chosen = dict.fromkeys(waiting, 0), dict.fromkeys(scopes, 0), []
-        while waiting and len(chosen) < limit:
-            least = min(by_metric[m] for m in waiting)
-            heads = [(by_scope[s], own[-1], m, s) for m in waiting if by_metric[m] == least for s, own in waiting[m].items()]
-            _, n, m, s = min(heads, key=lambda h: h[:2])
-            chosen.append(n)
-            by_metric[m] += 1
-            by_scope[s] += 1
-            waiting[m][s].pop()
-            if not waiting[m][s]:
-                del waiting[m][s]
-            if not waiting[m]:
-                del waiting[m]
-        return rows.iloc[sorted(chosen)]
-
-    return df.groupBy(question).applyInPandas(choose, df.schema)
+    columns = df.columns
+    number = isinstance(df.schema[score].dataType, (T.FloatType, T.DoubleType))
+    best = F.when(~F.isnan(score), F.col(score)) if number else F.col(score)  # neither null nor NaN is a score
+    order = [F.col(question), F.desc_nulls_last("_best"), F.asc_nulls_last(uid), *[F.asc(c) for c in (metric, *scope)]]
+    rows = df.withColumn("_best", best).repartition(question).sortWithinPartitions(*order).select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_groups(batches, question):
+            group = np.cumsum(_changes(part.column(question))) - 1
+            kept = fair_rows(group, _codes(part, [metric]), _codes(part, scope), limit)
+            yield from part.take(pa.array(kept)).to_batches()
+
+    return rows.mapInArrow(run, df.schema)
+
+
+#: Rows of whole questions that one step of the fair choice takes together, if there are as many.
+STEP_ROWS = 1 << 18
+
+
+def fair_rows(group: np.ndarray, metric: np.ndarray, scope: np.ndarray, limit: int) -> np.ndarray:
+    """The rows chosen of each group (numbered from 0, in order), whose rows stand best first; all groups take their n-th turn at once."""
+    n = len(group)
+    # Cells of one group, metric and scope: in each the first row that is left stands for all that follow.
+    order = np.lexsort((np.arange(n), scope, metric, group))
+    new = np.ones(n, bool)
+    new[1:] = (np.diff(group[order]) != 0) | (np.diff(metric[order]) != 0) | (np.diff(scope[order]) != 0)
+    head = np.flatnonzero(new)
+    end = np.append(head[1:], n)
+    owner = group[order[head]]
+    by_metric = np.unique(np.stack([owner, metric[order[head]]], axis=1), axis=0, return_inverse=True)[1].ravel()
+    by_scope = np.unique(np.stack([owner, scope[order[head]]], axis=1), axis=0, return_inverse=True)[1].ravel()
+    metrics, scopes, chosen = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64), [np.zeros(0, np.int64)]
+    for _ in range(limit):
+        if not len(head):
+            break
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        sizes = np.diff(np.append(first, len(head)))
+        open_cells = np.ones(len(head), bool)
+        for key in (metrics[by_metric], scopes[by_scope], order[head]):
+            key = np.where(open_cells, key, np.iinfo(np.int64).max)
+            open_cells &= key == np.repeat(np.minimum.reduceat(key, first), sizes)
+        taken = np.flatnonzero(open_cells)
+        chosen.append(order[head[taken]])
+        metrics[by_metric[taken]] += 1
+        scopes[by_scope[taken]] += 1
+        head[taken] += 1
+        left = head < end
+        head, end, owner, by_metric, by_scope = head[left], end[left], owner[left], by_metric[left], by_scope[left]
+    return np.sort(np.concatenate(chosen))
+
+
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """True where a row's value differs from that of the row before, null being a value."""
+    new = np.ones(len(column), bool)
+    codes = _codes(pa.table({"_": column}), ["_"])
+    new[1:] = codes[1:] != codes[:-1]
+    return new
+
+
+def _codes(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """One number for each different tuple of values, null being a value."""
+    out = np.zeros(rows.num_rows, np.int64)
+    for c in columns:
+        encoded = pc.dictionary_encode(rows.column(c).combine_chunks(), null_encoding="encode")
+        encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
+        out = out * len(encoded.dictionary) + encoded.indices.to_numpy()
+        out = np.unique(out, return_inverse=True)[1].ravel() if len(columns) > 1 else out
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows sorted by a key; only the last group of what has come is held back."""
+    held, count, enough = [], 0, STEP_ROWS
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < enough:
+            continue
+        rows = pa.Table.from_batches(held)
+        last = int(np.flatnonzero(_changes(rows.column(key)))[-1])
+        if last:
+            yield rows.slice(0, last)
+        held = rows.slice(last).to_batches()
+        count = rows.num_rows - last
+        enough = max(STEP_ROWS, 2 * count)  # a group of many steps is not searched at each of them
+    if count:
+        yield pa.Table.from_batches(held)
 
 
 # ---- bindings

@@ -271,6 +271,41 @@ def test_fair_selection_is_the_greedy_choice(spark):
         assert got[question] == chosen
 
 
+def test_fair_selection_serves_all_questions_of_a_task_together(spark, monkeypatch):
+    """Thousands of questions need no call each; nulls are values, ids break ties, steps cut no question."""
+    import random
+
+    import pyarrow as pa
+
+    from factloom.operators import selection as sl
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(6000), rng.choice(["a", "b", None]), rng.choice([0, 1, None]), rng.choice([None, 1.0, 2.0]), n) for n in range(15000)]
+    rows += [(None, rng.choice("ab"), rng.randrange(40), float(rng.randrange(50)), 20000 + n) for n in range(3000)]
+    df = spark.createDataFrame(rows, "question int, metric string, scope int, score double, uid int")
+    made = sl.fair_selection(df, "question", "metric", ["scope"], "score", "uid", 3)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(r) for r in made.collect()}
+    groups, want = {}, set()
+    for r in rows:
+        groups.setdefault(r[0], []).append(r)
+    for left in groups.values():
+        metrics, scopes = {}, {}
+        for _ in range(min(3, len(left))):
+            r = min(left, key=lambda r: (metrics.get(r[1], 0), scopes.get(r[2], 0), r[3] is None, -(r[3] or 0), r[4]))
+            left.remove(r)
+            want.add(r)
+            metrics[r[1]] = metrics.get(r[1], 0) + 1
+            scopes[r[2]] = scopes.get(r[2], 0) + 1
+    assert got == want
+    monkeypatch.setattr(sl, "STEP_ROWS", 10)
+    keys = [None] * 3 + [1] * 45 + [2] + [3] * 12 + [4] * 4
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[n : n + 7], pa.int32())}) for n in range(0, len(keys), 7)]
+    steps = [t["k"].to_pylist() for t in sl._whole_groups(iter(batches), "k")]
+    assert sum(steps, []) == keys and len(steps) > 1
+    assert all(one[-1] != two[0] for one, two in zip(steps, steps[1:], strict=False))
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
